@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitgrain.functions.measures import aggregate_named, difference_of_sums
-from visitgrain.schema import EVENT_TIME
+from visitgrain.schema import EVENT_TIME, PARTITION_MONTH, PARTITION_YEAR, PARTITIONS
 
 
 def count_by(df: DataFrame, *keys: str | Column, out: str = "count") -> DataFrame:
@@ -87,18 +87,28 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
+def _calendar(df: DataFrame, ts: str) -> tuple[Column, Column]:
+    """Year and month of ``ts``; on a partitioned table these are read from the folder names."""
+    if ts == EVENT_TIME and set(PARTITIONS) <= set(df.columns):
+        return F.col(PARTITION_YEAR), F.col(PARTITION_MONTH)
+    return F.year(ts), F.month(ts)
+
+
 def observed_calendar(df: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
     """Distinct (year, month) pairs present."""
-    return df.select(
-        F.year(ts).cast("long").alias("tahun"), F.month(ts).cast("long").alias("bulan")
-    ).distinct()
+    year, month = _calendar(df, ts)
+    return df.select(year.cast("long").alias("tahun"), month.cast("long").alias("bulan")).distinct()
+
+
+def year_span(df: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
+    year, _ = _calendar(df, ts)
+    return df.agg(F.min(year).cast("long").alias("first"), F.max(year).cast("long").alias("last"))
 
 
 def year_range(df: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
     """Every year from the first to the last event, gaps included."""
-    span = df.agg(F.year(F.min(ts)).alias("a"), F.year(F.max(ts)).alias("b"))
-    years = span.filter(F.col("a").isNotNull()).select(F.explode(F.sequence("a", "b")).alias("tahun"))
-    return years.select(F.col("tahun").cast("long").alias("tahun"))
+    span = year_span(df, ts).filter(F.col("first").isNotNull())
+    return span.select(F.explode(F.sequence("first", "last")).alias("tahun"))
 
 
 def aggregate_columns(df: DataFrame, columns: Sequence[str], agg: str) -> DataFrame:
@@ -127,7 +137,7 @@ def frequency(df: DataFrame, cats: Sequence[str], out: str = "count") -> DataFra
     return counted.orderBy(F.desc(out), *cats)
 
 
-def _ordered_cells(count: str, cells: Mapping[str, str]) -> Column:
+def ordered_cells(count: str, cells: Mapping[str, str]) -> Column:
     """Array of structs, most frequent first, then by label."""
     cell = F.struct(
         (-F.col(count)).alias("_o"), *[F.col(src).alias(name) for name, src in cells.items()]
@@ -142,7 +152,7 @@ def breakdown_json(df: DataFrame, key: str, name: str, out: str) -> DataFrame:
     Only the counted groups are gathered, one cell per distinct value.
     """
     counted = count_by(df, key, out="cnt")
-    cells = _ordered_cells("cnt", {name: key, "count": "cnt"})
+    cells = ordered_cells("cnt", {name: key, "count": "cnt"})
     return counted.agg(
         F.when(F.count(F.lit(1)) > 0, F.to_json(cells, {"ignoreNullFields": "false"})).alias(out)
     )

@@ -24,14 +24,14 @@ def categories(df: DataFrame, cat: str) -> list[str]:
     return labels
 
 
-def _finish(wide: DataFrame, keys: Sequence[str], fill: bool) -> DataFrame:
-    made = [c for c in wide.columns if c not in keys]
+def _finish(wide: DataFrame, keys: Sequence[str | Column], fill: bool) -> DataFrame:
+    made = wide.columns[len(keys) :]
     return wide.na.fill(0, subset=made) if fill else wide
 
 
 def pivot_count(
     df: DataFrame,
-    keys: Sequence[str],
+    keys: Sequence[str | Column],
     cat: str,
     values: Sequence[str] | None = None,
     fill: bool = False,
@@ -48,7 +48,7 @@ def pivot_count(
 
 def pivot_measure(
     df: DataFrame,
-    keys: Sequence[str],
+    keys: Sequence[str | Column],
     cat: str,
     measure: Column,
     values: Sequence[str] | None = None,
@@ -104,9 +104,7 @@ def unstack_count(
     """Counts with one column per combination of several categories, 0 where absent."""
     joined = df.na.drop(subset=list(cats)).withColumn("_cats", F.concat_ws(sep, *cats))
     values = categories(joined, "_cats") if values is None else list(values)
-    grouped = joined.groupBy(*keys)
-    names = [c for c in grouped.count().columns if c != "count"]
-    return _finish(grouped.pivot("_cats", values).agg(F.count(F.lit(1))), names, True)
+    return _finish(joined.groupBy(*keys).pivot("_cats", values).agg(F.count(F.lit(1))), keys, True)
 
 
 def columnar_payload(

@@ -1,0 +1,9 @@
+"""All checked queries, by the identifiers of the operator inventory."""
+
+from visitgrain.registry import dashboards
+from visitgrain.registry.core import ORACLES, QUERIES
+
+for _family in (dashboards,):
+    _family.register()
+
+__all__ = ["ORACLES", "QUERIES"]
