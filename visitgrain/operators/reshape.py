@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,19 +65,26 @@ def pivot_mean_then(
     ts: str,
     period: Column,
     cat: str,
-    measure: str,
-    outer: Column | None = None,
+    measures: Sequence[str],
     values: Sequence[str] | None = None,
-    agg=F.sum,
+    agg: Callable[[Column], Column] = F.sum,
 ) -> DataFrame:
     """Mean per raw timestamp and category, then ``agg`` of those means per bucket.
 
     Missing (timestamp, category) cells count as 0. The two levels stay apart: a sum of means is
-    not a sum.
+    not a sum. Columns are named by category, or ``measure_category`` for several measures.
     """
-    values = categories(df, cat) if values is None else list(values)
-    means = _finish(df.groupBy(ts).pivot(cat, values).agg(F.avg(measure)), [ts], True)
-    return means.groupBy(period.alias(PERIOD)).agg(*[agg(F.col(f"`{v}`")).alias(v) for v in values])
+    known = df.filter(F.col(cat).isNotNull()).na.drop("all", subset=list(measures))
+    values = categories(known, cat) if values is None else list(values)
+    means = known.groupBy(ts).pivot(cat, values).agg(*[F.avg(m).alias(m) for m in measures])
+    if len(measures) == 1:
+        names = {v: v for v in values}
+    else:
+        names = {f"{v}_{m}": f"{m}_{v}" for m in measures for v in values}
+    filled = means.na.fill(0, subset=list(names))
+    return filled.groupBy(period.alias(PERIOD)).agg(
+        *[agg(F.col(f"`{made}`")).alias(name) for made, name in names.items()]
+    )
 
 
 def category_mean_totals(

@@ -41,6 +41,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         **{
             "spark.sql.shuffle.partitions": parallel,
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.host": "127.0.0.1",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.memory": "16g",
