@@ -124,13 +124,17 @@ def columnar_payload(
     columns = list(columns or [c for c in wide.columns if c != index])
     cells = F.struct(F.col(index), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     rows = wide.agg(F.array_sort(F.collect_list(cells)).alias("_r"))
-    label = (lambda x: F.date_format(x[index], pattern)) if pattern else (lambda x: x[index])
+
+    def label(cell: Column) -> Column:
+        return F.date_format(cell[index], pattern) if pattern else cell[index]
+
+    def values_of(column: str) -> Column:
+        return F.transform("_r", lambda cell: F.coalesce(cell[column], F.lit(0.0)))
+
     return rows.select(
         F.transform("_r", label).alias("index"),
         F.array(*[F.lit(c) for c in columns]).alias("columns"),
-        F.array(
-            *[F.transform("_r", lambda x, c=c: F.coalesce(x[c], F.lit(0.0))) for c in columns]
-        ).alias("values"),
+        F.array(*[values_of(c) for c in columns]).alias("values"),
     )
 
 

@@ -18,7 +18,9 @@ VISITS_CTE = "visits AS (" + VISITS_SQL.format(**{t: t for t in STAR_TABLES}).st
 
 def _with_visits(sql: str) -> str:
     sql = sql.strip()
-    if sql.upper().startswith("WITH "):
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {VISITS_CTE}, {sql[15:]}"
+    if sql.startswith("WITH "):
         return f"WITH {VISITS_CTE}, {sql[5:]}"
     return f"WITH {VISITS_CTE} {sql}"
 
@@ -37,6 +39,10 @@ def on_visits(key: str, plan: Callable[[DataFrame], DataFrame], sql: str | None
     add(key, lambda spark, sf_dir: plan(visits(spark, sf_dir)), sql and _with_visits(sql))
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
-    """Double sums depend on the order of addition in the last bits; compare them rounded."""
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 4, nudge: float = 0.0) -> DataFrame:
+    """Double sums depend on the order of addition in the last bits; compare them rounded.
+
+    ``nudge`` is added on both sides where exact halves are common, as in means of few values:
+    it is larger than the noise and moves a half off the rounding boundary.
+    """
+    return df.withColumns({c: F.round(F.col(f"`{c}`") + nudge, digits) for c in columns})

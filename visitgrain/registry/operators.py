@@ -326,9 +326,9 @@ def register_reshape() -> None:
         sql_fn = "avg" if name == "mean" else "sum"
         on_visits(f"P-3_{name}",
                   lambda v, fn=fn: resample.labelled(rounded(reshape.pivot_mean_then(
-                      v, TS, dates.bucket(TS, "month"), "jenis_registrasi", [REVENUE], TYPES, fn), *TYPES), "M"),
+                      v, TS, dates.bucket(TS, "month"), "jenis_registrasi", [REVENUE], TYPES, fn), *TYPES, nudge=1e-6), "M"),
                   f"""WITH t AS (SELECT waktu_registrasi, {means} FROM visits GROUP BY 1)
-                      SELECT {period('month')}, {', '.join(f'round({sql_fn}("{t}"), 4) AS "{t}"' for t in TYPES)}
+                      SELECT {period('month')}, {', '.join(f'round({sql_fn}("{t}") + 1e-6, 4) AS "{t}"' for t in TYPES)}
                       FROM t GROUP BY 1""")
     filled = ", ".join(f'coalesce("{t}", 0) AS "{t}"' for t in TYPES)
     on_visits("P-4",

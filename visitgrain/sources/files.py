@@ -40,19 +40,27 @@ def read_json(
     path: str,
     schema: T.StructType = TEXT_SCHEMA,
     columns: Sequence[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Files each holding an array of record objects."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    """Record objects, one per line or in arrays of one line each.
+
+    ``multi_line`` is for arrays spread over several lines; such a file is read by one task.
+    """
+    df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return df.select(*columns) if columns else df
 
 
-def read_dataset(spark: SparkSession, path: str, columns: Sequence[str] = tuple(COLUMNS)) -> DataFrame:
-    """Reader chosen by extension."""
-    name = path.rstrip("/").lower()
-    if name.endswith((".csv", ".csv.gz")):
+def read_dataset(
+    spark: SparkSession, path: str, columns: Sequence[str] = tuple(COLUMNS), kind: str | None = None
+) -> DataFrame:
+    """Reader chosen by ``kind``, or by extension: csv (plain or gzip), json or parquet."""
+    if kind is None:
+        name = path.rstrip("/").lower().removesuffix(".gz")
+        kind = name.rsplit(".", 1)[-1]
+    if kind == "csv":
         return read_csv(spark, path, columns)
-    if name.endswith(".json"):
+    if kind == "json":
         return read_json(spark, path, columns=columns)
-    if name.endswith(".parquet"):
+    if kind == "parquet":
         return spark.read.parquet(path).select(*columns)
     raise ValueError(f"Unsupported source: {path}")

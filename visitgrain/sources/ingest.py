@@ -4,25 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visitgrain.operators.clean import clean, convert_types, project
+from visitgrain.operators.filters import latest_frame
 from visitgrain.operators.reshape import union_rows
-from visitgrain.schema import VISIT_SCHEMA
+from visitgrain.schema import EVENT_TIME, VISIT_SCHEMA
 from visitgrain.sources.files import read_dataset
+from visitgrain.sources.fs import is_written
 from visitgrain.sources.tables import read_stored_visits, write_visits
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
-
-
 def ingest_batch(
-    spark: SparkSession, source: str | DataFrame, target: str, mode: str = "strict"
+    spark: SparkSession, source: str | DataFrame, target: str, mode: str = "strict", kind: str | None = None
 ) -> DataFrame:
     """Read, project, cast, clean and append to the partitioned visits table at ``target``."""
-    raw = read_dataset(spark, source) if isinstance(source, str) else source
+    raw = read_dataset(spark, source, kind=kind) if isinstance(source, str) else source
     write_visits(clean(raw, mode=mode), target, mode="append")
     return read_stored_visits(spark, target)
 
@@ -48,6 +45,14 @@ def load_or_build(
     spark: SparkSession, path: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
     """The Parquet snapshot at ``path``, built and written first if it is not there."""
-    if not _exists(spark, path):
+    if not is_written(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def newer_than_table(source: DataFrame, table: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
+    """Source rows later than the table's latest event time; all rows while it is empty."""
+    mark = latest_frame(table, ts).select(
+        F.coalesce("latest", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t")
+    )
+    return source.filter(F.col(ts) > mark.scalar())

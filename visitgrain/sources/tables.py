@@ -84,12 +84,7 @@ def query(
     return spark.sql(sql, args=dict(parameters or {}), **frames)
 
 
-def _jdbc(options: Mapping[str, str] | None, **given: Any) -> dict[str, str]:
-    return {**(options or {}), **{k: str(v) for k, v in given.items() if v is not None}}
-
-
-def read_jdbc(
-    spark: SparkSession,
+def jdbc_read_options(
     url: str,
     table: str | None = None,
     sql: str | None = None,
@@ -99,33 +94,42 @@ def read_jdbc(
     upper: Any = None,
     partitions: int | None = None,
     fetch_size: int = 10_000,
-    options: Mapping[str, str] | None = None,
+) -> dict[str, str]:
+    if (table is None) == (sql is None):
+        raise ValueError("give either table or sql")
+    split = (partition_column, lower, upper, partitions)
+    if any(x is not None for x in split) and any(x is None for x in split):
+        raise ValueError("partition_column, lower, upper and partitions go together")
+    given = {
+        "url": url,
+        # A partitioned read needs dbtable, which takes a query as a derived table.
+        "dbtable": table if sql is None else f"({sql}) q",
+        "fetchsize": fetch_size,
+        "partitionColumn": partition_column,
+        "lowerBound": lower,
+        "upperBound": upper,
+        "numPartitions": partitions,
+    }
+    return {k: str(v) for k, v in given.items() if v is not None}
+
+
+def read_jdbc(
+    spark: SparkSession, url: str, table: str | None = None, sql: str | None = None,
+    options: Mapping[str, str] | None = None, **split: Any,
 ) -> DataFrame:
     """A database table or query.
 
-    With ``partition_column`` and bounds the table is read by ``partitions`` tasks, each with its
-    own range; without them one task reads everything, which only suits small tables.
+    With ``partition_column``, ``lower``, ``upper`` and ``partitions`` each task reads a range of
+    its own; without them one task reads everything, which only suits small tables.
     """
-    if (table is None) == (sql is None):
-        raise ValueError("give either table or sql")
-    given = dict(url=url, dbtable=table, fetchsize=fetch_size, partitionColumn=partition_column,
-                 lowerBound=lower, upperBound=upper, numPartitions=partitions)
-    if sql is not None:
-        # A partitioned read needs dbtable, which takes a query as a derived table.
-        given["dbtable"] = f"({sql}) q"
-    return spark.read.format("jdbc").options(**_jdbc(options, **given)).load()
+    given = jdbc_read_options(url, table, sql, **split)
+    return spark.read.format("jdbc").options(**{**(options or {}), **given}).load()
 
 
 def write_jdbc(
-    df: DataFrame,
-    url: str,
-    table: str,
-    *,
-    mode: str = "append",
-    batch_size: int = 10_000,
-    connections: int = 16,
-    options: Mapping[str, str] | None = None,
+    df: DataFrame, url: str, table: str, *, mode: str = "append", batch_size: int = 10_000,
+    connections: int = 16, options: Mapping[str, str] | None = None,
 ) -> None:
     """Append rows to a database table over at most ``connections`` connections."""
-    given = _jdbc(options, url=url, dbtable=table, batchsize=batch_size, numPartitions=connections)
-    df.write.format("jdbc").options(**given).mode(mode).save()
+    given = {"url": url, "dbtable": table, "batchsize": str(batch_size), "numPartitions": str(connections)}
+    df.write.format("jdbc").options(**{**(options or {}), **given}).mode(mode).save()

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from visitgrain.session import shared_dir
+from visitgrain.sources.fs import finished, hadoop_path
 from visitgrain.sources.tables import read_stored_visits, write_visits
 
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
@@ -71,17 +73,11 @@ def visits_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(VISITS_SQL, **tables)
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    """A path and the file system holding it."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Changes whenever a base table's files change: location, size, file count, time."""
     parts = [VISITS_SQL]
     for table in STAR_TABLES:
-        path, fs = _hadoop_path(spark, table_path(sf_dir, table))
+        path, fs = hadoop_path(spark, table_path(sf_dir, table))
         status, size = fs.getFileStatus(path), fs.getContentSummary(path)
         parts.append(
             f"{status.getPath()} {status.getModificationTime()} {size.getLength()} {size.getFileCount()}"
@@ -89,12 +85,24 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:20]
 
 
-def _stored(spark: SparkSession, prefix: str) -> str | None:
-    """A completely written table under ``prefix``. Each writer uses a folder of its own, so two
-    sessions that build the same table at once cannot damage each other's files."""
-    path, fs = _hadoop_path(spark, f"{prefix}-*/_SUCCESS")
-    found = sorted(s.getPath().getParent().toString() for s in fs.globStatus(path) or [])
-    return found[0] if found else None
+def stored_once(
+    spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]
+) -> str | None:
+    """Path of a table derived from the base tables, written at most once per version of them.
+
+    Each writer uses a folder of its own, so two sessions that build the same table at once
+    cannot damage each other's files. None where there is no shared folder.
+    """
+    folder = shared_dir(spark)
+    if folder is None:
+        return None
+    prefix = f"{folder}/visitgrain-{name}-{_fingerprint(spark, sf_dir)}"
+    done = finished(spark, f"{prefix}-*")
+    if done:
+        return done[0]
+    path = f"{prefix}-{uuid.uuid4().hex[:8]}"
+    write(path)
+    return path
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,14 +111,12 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     Partition columns are included so that time filters prune. Without a shared folder the lazy
     view is returned instead.
     """
-    folder = shared_dir(spark)
-    if folder is None:
-        return visits_view(spark, sf_dir)
-    prefix = f"{folder}/visitgrain-visits-{_fingerprint(spark, sf_dir)}"
-    path = _stored(spark, prefix)
+    path = stored_once(
+        spark, sf_dir, "visits",
+        lambda to: write_visits(visits_view(spark, sf_dir), to, mode="error"),
+    )
     if path is None:
-        path = f"{prefix}-{uuid.uuid4().hex[:8]}"
-        write_visits(visits_view(spark, sf_dir), path, mode="error")
+        return visits_view(spark, sf_dir)
     key = (spark.conf.get("spark.app.id", ""), path)
     if key not in _opened:
         _opened[key] = read_stored_visits(spark, path)
