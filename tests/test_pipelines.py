@@ -1,0 +1,230 @@
+import datetime as dt
+import gzip
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from visitgrain.operators import clean
+from visitgrain.registry.raw import raw_visits
+from visitgrain.schema import COLUMNS, TEXT_SCHEMA, VISIT_SCHEMA
+from visitgrain.sources import files, ingest, tables
+from visitgrain.streaming import landing, windows
+
+RECORD = {
+    "id_registrasi": "1", "id_pasien": "10", "jenis_kelamin": "perempuan", "ttl": "-1", "provinsi": "RIAU",
+    "kabupaten": "KABUPATEN S I A K", "rujukan": "Dalam", "no_registrasi": "5", "jenis_registrasi": "IGD",
+    "fix_pasien_baru": "t", "nama_departemen": "POLI", "jenis_penjamin": "BPJS", "diagnosa_primer": None,
+    "nama_instansi_utama": "X", "waktu_registrasi": "2024-03-01 08:00:00", "total_semua_hpp": "100",
+    "total_tagihan": "150.5", "tanggal_lahir": "1990-01-01", "tglPulang": "2024-03-02 09:00:00", "usia": "34",
+    "kategori_usia": "dewasa", "kelas_hak": "KELAS I", "los_rawatan": "1", "pekerjaan": "PNS",
+}
+
+
+def record(**changes):
+    return {**RECORD, **{k: None if v is None else str(v) for k, v in changes.items()}}
+
+
+@pytest.fixture
+def raw(spark):
+    return lambda *records: spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in records], TEXT_SCHEMA)
+
+
+@pytest.mark.parametrize("name,expected", [
+    ("KABUPATEN S I A K", "Kab. Siak"), ("KOTA B A T A M", "Kota Batam"), ("KOTA D U M A I", "Kota Dumai"),
+    ("KABUPATEN INDRAGIRI-HULU", "Kab. Indragiri-Hulu"), ("ROKAN (HILIR)", "Rokan (Hilir)"),
+    ("KOTA KABUPATEN", "Kota Kabupaten"), (None, "Tidak Diketahui"), ("o'brien éland", "O'Brien Éland"),
+])
+def test_district_names(raw, name, expected):
+    assert clean.clean(raw(record(kabupaten=name))).first()["kabupaten"] == expected
+
+
+def test_labels_and_types(raw):
+    out = clean.clean(raw(RECORD))
+    assert out.schema.simpleString() == VISIT_SCHEMA.simpleString()
+    row = out.first()
+    assert (row["jenis_kelamin"], row["rujukan"], row["total_tagihan"]) == ("Perempuan", "Dalam RS", 150.5)
+    assert row["waktu_registrasi"] == dt.datetime(2024, 3, 1, 8)
+
+
+def test_bad_values(raw):
+    bad = raw(record(waktu_registrasi="yesterday"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        clean.clean(bad).collect()
+    assert clean.clean(bad, mode="permissive").first()["waktu_registrasi"] is None
+    with pytest.raises(ValueError):
+        clean.clean(bad, mode="lenient")
+
+
+def test_ambiguous_gender_is_optional(raw):
+    df = raw(record(jenis_kelamin="Ambigu"))
+    assert clean.clean(df).first()["jenis_kelamin"] == "Ambigu"
+    assert clean.clean(df, drop_ambiguous=True).first()["jenis_kelamin"] is None
+
+
+def test_survivor_does_not_depend_on_partitioning(raw):
+    copies = [record(pekerjaan=p, waktu_registrasi=f"2024-03-0{d} 08:00:00") for p, d in
+              (("C", 1), ("A", 2), ("B", 1), ("D", 3))]
+    df = raw(*copies)
+    keeps = {clean.clean(df.repartition(n)).first()["pekerjaan"] for n in (1, 2, 4)}
+    assert keeps == {"B"}
+    assert clean.dedupe_rows(df.unionAll(df)).count() == 4
+
+
+def test_csv_plain_and_gzip(spark, folder, tmp_path):
+    header, line = ",".join([*COLUMNS, "extra"]), ",".join([*(v or "" for v in RECORD.values()), "z"])
+    (tmp_path / "a.csv").write_text(f"{header}\n{line}\n")
+    with gzip.open(tmp_path / "a.csv.gz", "wt") as f:
+        f.write(f"{header}\n{line}\n")
+    for name in ("a.csv", "a.csv.gz"):
+        df = files.read_dataset(spark, folder(name))
+        assert df.columns == COLUMNS and df.first()["diagnosa_primer"] is None
+    assert files.read_csv(spark, folder("a.csv.gz"), ["usia"], partitions=3).rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError, match="Unsupported source"):
+        files.read_dataset(spark, "a.xlsx")
+
+
+def test_json_arrays(spark, folder, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps([RECORD, record(id_registrasi=2)]))
+    assert files.read_json(spark, folder("one.json")).count() == 2
+    (tmp_path / "many.json").write_text(json.dumps([RECORD, record(id_registrasi=2)], indent=1))
+    assert files.read_json(spark, folder("many.json"), multi_line=True, columns=["usia"]).columns == ["usia"]
+
+
+def test_tables(spark, raw, folder):
+    tables.drop_table(spark, "visits_test")
+    assert not tables.has_rows(spark, "visits_test")
+    tables.create_table(spark, "visits_test", path=folder("t"))
+    assert spark.catalog.tableExists("visits_test") and not tables.has_rows(spark, "visits_test")
+    tables.append_table(clean.clean(raw(RECORD)), "visits_test")
+    assert tables.has_rows(spark, "visits_test")
+    got = tables.query(spark, "SELECT count(*) AS n FROM visits_test WHERE usia > :age", {"age": 30})
+    assert got.first()["n"] == 1
+    tables.drop_table(spark, "visits_test")
+    assert not spark.catalog.tableExists("visits_test")
+
+
+def test_jdbc_options():
+    plain = tables.jdbc_read_options("jdbc:x", table="dataset")
+    assert plain == {"url": "jdbc:x", "dbtable": "dataset", "fetchsize": "10000"}
+    split = tables.jdbc_read_options("jdbc:x", sql="SELECT 1", partition_column="id", lower=0, upper=9, partitions=4)
+    assert split["dbtable"] == "(SELECT 1) q" and split["numPartitions"] == "4"
+    with pytest.raises(ValueError):
+        tables.jdbc_read_options("jdbc:x")
+    with pytest.raises(ValueError):
+        tables.jdbc_read_options("jdbc:x", table="t", partition_column="id")
+
+
+def test_ingest_upload_and_snapshot(spark, raw, folder):
+    first = raw(record(id_registrasi=1), record(id_registrasi=1), record(id_registrasi=2))
+    assert ingest.ingest_batch(spark, first, folder("a")).count() == 2
+    upload = raw(record(id_registrasi=2), record(id_registrasi=3, kabupaten="KOTA D U M A I"))
+    merged = ingest.merge_upload(spark, folder("a"), upload, folder("b"))
+    assert sorted(r["id_registrasi"] for r in merged.collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        ingest.merge_upload(spark, folder("a"), upload, folder("a"))
+    built = []
+    for _ in range(2):
+        snap = ingest.load_or_build(spark, folder("s"), lambda: built.append(1) or merged)
+    assert built == [1] and snap.count() == 3
+
+
+def test_high_water_mark(spark, raw, folder):
+    source = clean.clean(raw(*[record(id_registrasi=i, waktu_registrasi=f"2024-03-0{i} 08:00:00") for i in (1, 2, 3)]))
+    empty = spark.createDataFrame([], VISIT_SCHEMA)
+    assert ingest.newer_than_table(source, empty).count() == 3
+    assert ingest.newer_than_table(source, source.filter("id_registrasi < 3")).count() == 1
+    assert ingest.newer_than_table(source, source).count() == 0
+
+
+def land(path, name, records):
+    path.mkdir(exist_ok=True)
+    (path / name).write_text(json.dumps(records))
+
+
+def test_stream_drops_repeats_across_batches_and_restarts(spark, folder, tmp_path):
+    land(tmp_path / "in", "1.json", [record(id_registrasi=i, waktu_registrasi=f"2024-03-{i:02d} 08:00:00") for i in (1, 2, 3)])
+    target, checkpoint = folder("out"), folder("cp")
+
+    def run(**kw):
+        stream = landing.read_landing(spark, folder("in"), files_per_batch=1)
+        landing.ingest_stream(stream, target, checkpoint, **kw).awaitTermination()
+
+    run()
+    late = [record(id_registrasi=3, waktu_registrasi="2024-03-03 08:00:00"), record(id_registrasi=4, waktu_registrasi="2024-04-01 08:00:00")]
+    land(tmp_path / "in", "2.json", late)
+    land(tmp_path / "in", "3.json", late)
+    land(tmp_path / "in", "4.json", [])
+    run()
+    out = landing.read_ingested(spark, target)
+    assert sorted(r["id_registrasi"] for r in out.collect()) == [1, 2, 3, 4]
+    progress = {r["batch_id"]: (r["n_rows"], str(r["max_ts"])) for r in landing.read_progress(spark, target).collect()}
+    assert progress == {0: (3, "2024-03-03 08:00:00"), 1: (1, "2024-04-01 08:00:00")}
+    assert str(landing.freshness(spark, target).first()["latest"]) == "2024-04-01 08:00:00"
+    run()
+    assert landing.read_ingested(spark, target).count() == 4
+    assert landing.compact(spark, target, folder("compact")).count() == 4
+
+
+def test_replayed_batch_changes_nothing(spark, raw, folder):
+    batch = raw(record(id_registrasi=1), record(id_registrasi=2))
+    for _ in range(2):
+        landing.ingest_batch_into(batch, 7, folder("out"))
+    assert landing.read_ingested(spark, folder("out")).count() == 2
+    landing.ingest_batch_into(batch, 8, folder("out"))
+    assert landing.read_ingested(spark, folder("out")).count() == 2
+    assert landing.read_progress(spark, folder("out")).count() == 1
+
+
+def test_moved_repeats_need_the_full_comparison(spark, raw, folder):
+    landing.ingest_batch_into(raw(record(id_registrasi=1)), 0, folder("out"))
+    moved = clean.clean(raw(record(id_registrasi=1, waktu_registrasi="2024-05-01 00:00:00")))
+    sink = landing.read_ingested(spark, folder("out"))
+    assert landing.unseen(moved, sink).count() == 1
+    assert landing.unseen(moved, sink, "all").count() == 0
+    with pytest.raises(ValueError):
+        landing.unseen(moved, sink, "day")
+
+
+def test_malformed_record_stops_the_stream(spark, folder, tmp_path):
+    land(tmp_path / "in", "1.json", [record(waktu_registrasi="never")])
+    stream = landing.read_landing(spark, folder("in"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        landing.ingest_stream(stream, folder("out"), folder("cp")).awaitTermination()
+    keep = landing.ingest_stream(stream, folder("out"), folder("cp2"), transform=lambda b: clean.clean(b, mode="permissive"))
+    keep.awaitTermination()
+    assert landing.read_ingested(spark, folder("out")).count() == 1
+
+
+def events(path, name, rows):
+    path.mkdir(exist_ok=True)
+    (path / name).write_text("\n".join(json.dumps({"ts": t, "kind": k, "value": v}) for t, k, v in rows))
+
+
+def test_live_series_equals_the_batch_answer(spark, folder, tmp_path):
+    schema = "ts timestamp, kind string, value double"
+    events(tmp_path / "in", "1.json", [("2024-01-01T01:00:00Z", "a", 1), ("2024-01-01T02:00:00Z", "b", 2)])
+    events(tmp_path / "in", "2.json", [("2024-01-01T03:00:00Z", "a", 4), ("2024-01-02T01:00:00Z", "a", 8)])
+    stream = landing.read_landing(spark, folder("in"), schema, files_per_batch=1)
+    series = windows.windowed(stream, "ts", ["kind"], "value", "1 hour")
+    windows.upsert_live(series, folder("live"), folder("cp"), ["time_period", "kind"]).awaitTermination()
+    events(tmp_path / "in", "3.json", [("2024-01-02T05:00:00Z", "a", 16)])
+    stream = landing.read_landing(spark, folder("in"), schema, files_per_batch=1)
+    series = windows.windowed(stream, "ts", ["kind"], "value", "1 hour")
+    windows.upsert_live(series, folder("live"), folder("cp"), ["time_period", "kind"]).awaitTermination()
+    batch = windows.windowed(spark.read.schema(schema).json(folder("in")), "ts", ["kind"], "value", "1 hour")
+    assert sorted(map(str, windows.read_live(spark, folder("live")).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_watermark_drops_repeats_across_batches(spark, folder, tmp_path):
+    schema = "ts timestamp, kind string, value double"
+    events(tmp_path / "in", "1.json", [("2024-01-01T01:00:00Z", "a", 1), ("2024-01-01T01:01:00Z", "b", 1)])
+    events(tmp_path / "in", "2.json", [("2024-01-01T01:02:00Z", "a", 1), ("2024-01-01T01:03:00Z", "c", 1)])
+    stream = landing.dedupe_stream(landing.read_landing(spark, folder("in"), schema, files_per_batch=1), "kind", "ts", "1 hour")
+    landing.copy_to_parquet(stream, folder("out"), folder("cp")).awaitTermination()
+    assert spark.read.parquet(folder("out")).count() == 3
+
+
+def test_raw_records_clean_back(visits):
+    raw_rows = raw_visits(visits)
+    assert clean.clean(raw_rows).count() == visits.select("id_registrasi").distinct().count()

@@ -51,10 +51,10 @@ def _counts_and_measures(
 ) -> DataFrame:
     """Category counts beside measures, per bucket.
 
-    By default both sides are aggregated to the bucket and matched there. ``compat`` instead
-    matches each timestamp's counts to every raw row with that timestamp, which multiplies the
-    counts by the rows sharing it; that product is computed from per-timestamp totals, so the
-    multiplied rows never exist.
+    By default both sides are aggregated to the bucket and matched there, every bucket kept.
+    ``compat`` instead matches each timestamp's counts to every raw row with that timestamp, which
+    multiplies the counts by the rows sharing it and loses timestamps without a category; the
+    product is computed from per-timestamp totals, so the multiplied rows never exist.
     """
     fine = bucket(ts, freq) if agg == "sum" and not compat else F.col(ts)
     cells = rows.groupBy(fine.alias("_t"), "_cat").agg(
@@ -82,12 +82,10 @@ def _counts_and_measures(
         total = F.sum(f"_s{i}")
         return total if agg == "sum" else F.try_divide(total, F.sum(f"_k{i}"))
 
-    out = per_time.groupBy(bucket("_t", freq).alias(PERIOD)).agg(
-        F.sum("_known").alias("_known"),
+    return per_time.groupBy(bucket("_t", freq).alias(PERIOD)).agg(
         *[count_cell(j).alias(c) for j, c in enumerate(labels)],
         *[measure_cell(i).alias(m) for i, m in enumerate(measures)],
     )
-    return out.filter(F.col("_known") > 0).drop("_known")
 
 
 def cube_series(
