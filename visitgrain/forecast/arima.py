@@ -144,12 +144,7 @@ def fit(
                     )
             yield pd.DataFrame(out, columns=_FIT.names)
 
-    if columns:
-        points = F.array_sort(F.collect_list(F.struct(PERIOD, VALUE, *columns)))
-        known = history.na.drop(subset=[PERIOD, VALUE, *columns])
-        arrays = known.groupBy(KEY).agg(points.alias("points"))
-    else:
-        arrays = series_arrays(history)
+    arrays = series_arrays(history, columns)
     tasks = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = arrays.select(
         F.col(KEY).cast("string").alias("key"),

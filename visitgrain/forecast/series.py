@@ -19,15 +19,19 @@ def long_from_wide(wide: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return doubles.unpivot([PERIOD], columns, KEY, VALUE)
 
 
-def series_arrays(history: DataFrame) -> DataFrame:
+def series_arrays(history: DataFrame, exog: Sequence[str] = ()) -> DataFrame:
     """One row per series: its points in time order.
 
     ``history`` is aggregated to buckets, so an array grows with the calendar (some thousand
     days), not with the number of visits.
     """
-    points = F.array_sort(F.collect_list(F.struct(PERIOD, VALUE)))
-    known = history.filter(F.col(PERIOD).isNotNull() & F.col(VALUE).isNotNull())
-    return known.groupBy(KEY).agg(points.alias("points"))
+    columns = [PERIOD, VALUE, *exog]
+    points = F.array_sort(F.collect_list(F.struct(*columns)))
+    # The data is small but the fits are not: a fixed partition count keeps adaptive execution
+    # from merging all series into one task. The grouping reuses this partitioning.
+    tasks = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = history.na.drop(subset=columns).repartition(tasks, KEY)
+    return spread.groupBy(KEY).agg(points.alias("points"))
 
 
 def future_periods(last: Column, horizon: int, freq: str = "D") -> Column:

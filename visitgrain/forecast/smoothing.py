@@ -68,17 +68,12 @@ def fit(
     damping: float = 1.0,
 ) -> DataFrame:
     """Per series the grid parameters with the least squared one-step error."""
-    grid = F.array(
-        *[
-            F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"))
-            for a in alphas for b in betas
-        ]
-    )
     # Candidates multiply rows inside the task; only their scores reach the shuffle.
     tried = _fold(
         _train(history, holdout)
-        .withColumn("g", F.explode(grid))
-        .select(KEY, "points", "g.alpha", "g.beta", F.lit(float(damping)).alias("damping"))
+        .withColumn("alpha", F.explode(F.lit([float(a) for a in alphas])))
+        .withColumn("beta", F.explode(F.lit([float(b) for b in betas])))
+        .withColumn("damping", F.lit(float(damping)))
     )
     best = F.min(
         F.struct(

@@ -84,10 +84,16 @@ def since(
     is a scalar subquery: it is computed once and pruned on at run time, without a join.
     """
     source = df if anchor is None else anchor
-    low = latest_frame(source, ts).select(bound(F.col("latest")).cast("timestamp_ntz").alias("low"))
-    keep = [F.col(ts) >= low.scalar()]
+    low = latest_frame(source, ts).select(bound(F.col("latest")).cast("timestamp_ntz")).scalar()
+    return from_time(df, ts, low)
+
+
+def from_time(df: DataFrame, ts: str, low: Column, included: bool = True) -> DataFrame:
+    """Rows at or after ``low`` (a literal or a scalar subquery), or strictly after it."""
+    keep = [F.col(ts) >= low if included else F.col(ts) > low]
     if _partitioned(df, ts):
-        keep.append(_partition_start() >= low.select(F.trunc("low", "MM").alias("m")).scalar())
+        # The same expression again: a subquery shared with the line above runs once.
+        keep.append(_partition_start() >= F.trunc(low, "MM"))
     return df.filter(all_of(keep))
 
 
@@ -114,11 +120,7 @@ def latest_month(df: DataFrame, ts: str, anchor: DataFrame | None = None) -> Dat
 def last_before(df: DataFrame, ts: str, span: str, as_of: Any = None) -> DataFrame:
     """``span`` back from today, or from ``as_of``."""
     now = F.current_date() if as_of is None else F.to_date(ntz(as_of))
-    low = now.cast("timestamp_ntz") - F.expr(f"INTERVAL {span}")
-    keep = [F.col(ts) >= low]
-    if _partitioned(df, ts):
-        keep.append(_partition_start() >= F.trunc(low, "MM"))
-    return df.filter(all_of(keep))
+    return from_time(df, ts, now.cast("timestamp_ntz") - F.expr(f"INTERVAL {span}"))
 
 
 def equals(df: DataFrame, **values: Any) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
+from visitgrain.operators import reshape
 from visitgrain.plans import geography, patients, revenue, utility, visits as vis
 from visitgrain.registry.core import on_visits, rounded
 
@@ -52,17 +55,22 @@ SETS = [
 ALL = [("", {}, "year", "true"), *SETS]
 
 
+def _labels(v: DataFrame, column: str, filters: dict) -> list[str] | None:
+    """Columns of a filtered pivot: the labels of the whole table, so that they stay the same."""
+    return reshape.categories(v, column) if filters else None
+
+
 def register_visits() -> None:
     for tag, kw, unit, cond in [("", {}, "day", SIX_MONTHS_DAY), *SETS]:
         on_visits(f"Q-1{tag}", lambda v, kw=kw: vis.growth(v, **kw), series_count(cond, unit))
     on_visits("Q-2", vis.growth_per_year, series_count("true", "year"))
     for tag, kw, unit, cond in ALL:
         on_visits(
-            f"Q-3{tag}", lambda v, kw=kw: vis.by_referral(v, **kw),
+            f"Q-3{tag}", lambda v, kw=kw: vis.by_referral(v, values=_labels(v, "rujukan", kw), **kw),
             series_pivot(cond, unit, REFERRALS, "rujukan"),
         )
         on_visits(
-            f"Q-4{tag}", lambda v, kw=kw: vis.by_age(v, **kw),
+            f"Q-4{tag}", lambda v, kw=kw: vis.by_age(v, values=_labels(v, "kategori_usia", kw), **kw),
             series_pivot(cond, unit, AGES, "kategori_usia"),
         )
     for tag, kw, unit, cond in [("", {}, "day", DAYS_180), *SETS]:

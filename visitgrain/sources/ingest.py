@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visitgrain.operators.clean import clean, convert_types, project
-from visitgrain.operators.filters import latest_frame
+from visitgrain.operators.filters import from_time, latest_frame
 from visitgrain.operators.reshape import union_rows
 from visitgrain.schema import EVENT_TIME, VISIT_SCHEMA
 from visitgrain.sources.files import read_dataset
@@ -55,4 +55,4 @@ def newer_than_table(source: DataFrame, table: DataFrame, ts: str = EVENT_TIME)
     mark = latest_frame(table, ts).select(
         F.coalesce("latest", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t")
     )
-    return source.filter(F.col(ts) > mark.scalar())
+    return from_time(source, ts, mark.scalar(), included=False)

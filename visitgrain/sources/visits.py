@@ -17,6 +17,9 @@ from visitgrain.session import shared_dir
 from visitgrain.sources.fs import finished, hadoop_path
 from visitgrain.sources.tables import read_stored_visits, write_visits
 
+# Part of every stored table's name; raise it when what is written changes.
+LAYOUT_VERSION = "2"
+
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
 # One text for Spark and DuckDB: every table name is a view of the same name.
@@ -75,13 +78,16 @@ def visits_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Changes whenever a base table's files change: location, size, file count, time."""
-    parts = [VISITS_SQL]
+    root, fs = hadoop_path(spark, sf_dir)
+    found = {s.getPath().getName(): s for s in fs.listStatus(root)}
+    parts = [LAYOUT_VERSION, VISITS_SQL, fs.makeQualified(root).toString()]
     for table in STAR_TABLES:
-        path, fs = hadoop_path(spark, table_path(sf_dir, table))
-        status, size = fs.getFileStatus(path), fs.getContentSummary(path)
-        parts.append(
-            f"{status.getPath()} {status.getModificationTime()} {size.getLength()} {size.getFileCount()}"
-        )
+        status = found[f"{table}.parquet"]
+        size, count = status.getLen(), 1
+        if status.isDirectory():
+            summary = fs.getContentSummary(status.getPath())
+            size, count = summary.getLength(), summary.getFileCount()
+        parts.append(f"{table} {status.getModificationTime()} {size} {count}")
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:20]
 
 
