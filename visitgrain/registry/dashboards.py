@@ -301,15 +301,15 @@ def register_revenue() -> None:
                   (SELECT coalesce(round_even(avg(los_rawatan), 0), 0) FROM f) AS avg_los_rawatan
                 FROM f GROUP BY 1""",
         )
-        for sort in ("pendapatan", "pengeluaran"):
+        for by, sort in (("", "pendapatan"), ("_by_cost", "pengeluaran")):
             on_visits(
-                f"Q-39_{sort}{tag}",
+                f"Q-39{by}{tag}",
                 lambda v, kw=kw, sort=sort: both(revenue.all_diagnoses(v, sort=sort, **kw)),
                 f"""SELECT diagnosa_primer, {SUMS} FROM visits
                     WHERE diagnosa_primer IS NOT NULL AND {cond} GROUP BY 1""",
             )
             on_visits(
-                f"Q-42_{sort}{tag}",
+                f"Q-42{by}{tag}",
                 lambda v, kw=kw, sort=sort: both(revenue.all_clinics(v, sort=sort, **kw)),
                 f"SELECT nama_departemen, {SUMS} FROM visits WHERE {cond} GROUP BY 1",
             )

@@ -64,9 +64,9 @@ def register_filters() -> None:
     _filter("F-6", lambda v: flt.base_filter(v, year=2000, month=5, district=DISTRICT, reg_type="IGD"),
             f"{IN_MONTH} AND kabupaten = '{DISTRICT}' AND jenis_registrasi = 'IGD'")
     _filter("F-6_month_alone", lambda v: flt.base_filter(v, month=5), "true")
-    for name, span in (("day", "1 day"), ("week", "7 days"), ("month", "1 month"),
-                       ("3month", "3 months"), ("6month", "6 months"), ("year", "1 year")):
-        _filter(f"F-7_{name}", lambda v, name=name: flt.time_filter(v, TS, relative=name),
+    for tag, name, span in (("_day", "day", "1 day"), ("_week", "week", "7 days"), ("_1month", "month", "1 month"),
+                            ("_3month", "3month", "3 months"), ("", "6month", "6 months"), ("_12month", "year", "1 year")):
+        _filter(f"F-7{tag}", lambda v, name=name: flt.time_filter(v, TS, relative=name),
                 f"waktu_registrasi >= {LATEST} - INTERVAL '{span}'")
     _filter("F-8", lambda v: flt.last_before(v, TS, "3 MONTHS", as_of="2001-05-31"),
             "waktu_registrasi >= DATE '2001-05-31' - INTERVAL '3 months'")
@@ -125,14 +125,14 @@ def register_time() -> None:
                 WHERE {dict(zip(('year', 'month', 'day'), ('true', IN_YEAR, IN_MONTH)))[unit]} GROUP BY 1""",
         )
     for unit in ("day", "week", "month", "quarter", "year"):
-        on_visits(f"T-2_{unit}", lambda v, unit=unit: resample.labelled(agg.count_by(v, bucketed(unit), out="n"), unit),
+        on_visits("T-2" if unit == "day" else f"T-2_by_{unit}", lambda v, unit=unit: resample.labelled(agg.count_by(v, bucketed(unit), out="n"), unit),
                   f"SELECT {period(unit)}, count(*) AS n FROM visits GROUP BY 1")
     _dense("T-3", "D", "day", "1 DAY")
     _dense("T-3_clinic", "D", "day", "1 DAY", where=f"nama_departemen = '{DEPARTMENT}'",
            keep=lambda v: flt.equals(v, nama_departemen=DEPARTMENT))
-    _dense("T-4_month", "M", "month", "1 MONTH", "last_day(d)")
-    _dense("T-4_year", "Y", "year", "1 YEAR", "d + INTERVAL 1 YEAR - INTERVAL 1 DAY")
-    _dense("T-5_week", "W", "week", "7 DAYS", "d + INTERVAL 6 DAYS")
+    _dense("T-4", "M", "month", "1 MONTH", "last_day(d)")
+    _dense("T-4_by_year", "Y", "year", "1 YEAR", "d + INTERVAL 1 YEAR - INTERVAL 1 DAY")
+    _dense("T-5", "W", "week", "7 DAYS", "d + INTERVAL 6 DAYS")
     _dense("T-5_quarter", "Q", "quarter", "3 MONTHS", "d + INTERVAL 3 MONTHS - INTERVAL 1 DAY")
     on_visits("T-5_two_months", lambda v: resample.labelled(agg.count_by(v, bucketed("2M"), out="n"), "2M"),
               """SELECT strftime(make_date(year(waktu_registrasi), (month(waktu_registrasi) - 1) // 2 * 2 + 1, 1),
@@ -201,7 +201,7 @@ def register_aggregates() -> None:
               """SELECT unnest(generate_series(year(min(waktu_registrasi)), year(max(waktu_registrasi)))) AS tahun
                  FROM visits""")
     for name, fn in (("sum", "sum"), ("mean", "avg"), ("min", "min"), ("max", "max")):
-        on_visits(f"A-19_{name}",
+        on_visits("A-19" if name == "sum" else f"A-19_{name}",
                   lambda v, name=name: rounded(agg.aggregate_columns(v, [REVENUE, "los_rawatan"], name), REVENUE, "los_rawatan", digits=2),
                   f"""SELECT round({fn}(total_tagihan), 2) AS total_tagihan,
                       round({fn}(los_rawatan), 2) AS los_rawatan FROM visits""")
@@ -241,7 +241,7 @@ def register_ranking() -> None:
               lambda v: rounded(rank.ranked(agg.sum_by(v, ["diagnosa_primer"], total=REVENUE), "total", ["diagnosa_primer"]), "total"),
               "SELECT diagnosa_primer, round(sum(total_tagihan), 4) AS total FROM visits GROUP BY 1")
     for sort in ("pendapatan", "pengeluaran"):
-        on_visits(f"R-5_{sort}",
+        on_visits("R-5" if sort == "pengeluaran" else "R-5_revenue",
                   lambda v, sort=sort: rounded(rank.top_k(
                       agg.sum_by(v, ["kabupaten"], pendapatan=REVENUE, pengeluaran=COST),
                       rank.sort_measure(sort, ["pendapatan", "pengeluaran"]), ["kabupaten"], 5), "pendapatan", "pengeluaran"),
@@ -324,7 +324,7 @@ def register_reshape() -> None:
     means = ", ".join(f"coalesce(avg(total_tagihan) FILTER (WHERE jenis_registrasi = '{t}'), 0) AS \"{t}\"" for t in TYPES)
     for name, fn in (("sum", F.sum), ("mean", F.avg)):
         sql_fn = "avg" if name == "mean" else "sum"
-        on_visits(f"P-3_{name}",
+        on_visits("P-3" if name == "sum" else f"P-3_{name}",
                   lambda v, fn=fn: resample.labelled(rounded(reshape.pivot_mean_then(
                       v, TS, dates.bucket(TS, "month"), "jenis_registrasi", [REVENUE], TYPES, fn), *TYPES, nudge=1e-6), "M"),
                   f"""WITH t AS (SELECT waktu_registrasi, {means} FROM visits GROUP BY 1)

@@ -356,7 +356,7 @@ def register_cubes() -> None:
                   SELECT strftime(d, '%Y-%m-%d') AS time_period, round(coalesce(r, 0), 4) AS total_tagihan,
                     round(coalesce(c, 0), 4) AS total_semua_hpp FROM spine LEFT JOIN g ON d = b""")
     both = f"{', '.join(f'sum("{t}")' for t in TYPES)}"
-    on_visits("G-3_both", lambda v: rounded(cube(v, cats=counts_by, measures=[REVENUE], mode="series", freq="M", labels=TYPES), REVENUE, digits=2),
+    on_visits("G-3", lambda v: rounded(cube(v, cats=counts_by, measures=[REVENUE], mode="series", freq="M", labels=TYPES), REVENUE, digits=2),
               f"""WITH g AS (SELECT {month}, {counts(TYPES, 'jenis_registrasi', True)}, sum(total_tagihan) AS r FROM visits GROUP BY 1),
                     {_spine('month', '1 MONTH')}
                   SELECT {month_end}, {filled}, round(coalesce(r, 0), 2) AS total_tagihan FROM spine LEFT JOIN g ON d = b""")
@@ -381,7 +381,7 @@ def register_cubes() -> None:
               f"""WITH g AS (SELECT {month}, avg(total_tagihan) AS r, avg(total_semua_hpp) AS c FROM visits GROUP BY 1)
                   SELECT 'total_tagihan' AS index, round(avg(r), 4) AS value FROM g UNION ALL
                   SELECT 'total_semua_hpp', round(avg(c), 4) FROM g""")
-    on_visits("G-2_cats", lambda v: cube(v, cats=["jenis_registrasi", "rujukan"], mode="aggregate", filters={"usia": {"less": 25}}),
+    on_visits("G-2", lambda v: cube(v, cats=["jenis_registrasi", "rujukan"], mode="aggregate", filters={"usia": {"less": 25}}),
               """SELECT jenis_registrasi, rujukan, count(*) AS count FROM visits WHERE usia < 25 GROUP BY 1, 2""")
     on_visits("G-2_measures", lambda v: rounded(cube(v, measures=[REVENUE, COST], mode="aggregate", agg="mean"), "value"),
               """SELECT 'total_tagihan' AS index, round(avg(total_tagihan), 4) AS value FROM visits UNION ALL
@@ -406,10 +406,15 @@ def register_cubes() -> None:
               """SELECT jenis_registrasi, count(*) AS count, round(sum(total_tagihan), 2) AS total_tagihan FROM visits GROUP BY 1""")
     on_visits("G-preset_kunjungan_jenisregis", lambda v: preset(v, "kunjungan/jenisregis", mode="series_aggregate"),
               "SELECT jenis_registrasi AS index, CAST(count(*) AS DOUBLE) AS value FROM visits GROUP BY 1")
-    # G-4: forecasts; the smoothing oracle is FC-1's, the trend oracle FC-3's.
-    on_visits("G-4", lambda v: rounded(cube(v, cats=counts_by, mode="forecast"), "yhat"))
+    # G-4: forecasts, of the dense daily series.
+    dense = """h AS (SELECT k.series_key, CAST(day AS DATE) AS d, coalesce(y, 0) AS y
+        FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS day FROM s)
+        CROSS JOIN (SELECT DISTINCT series_key FROM s) k LEFT JOIN s ON s.series_key = k.series_key AND d = day)"""
+    on_visits("G-4", lambda v: rounded(cube(v, cats=counts_by, mode="forecast"), "yhat"),
+              _fitted_rows(DAILY.replace("h AS", "s AS", 1) + ", " + dense))
     on_visits("G-4_models", lambda v: rounded(preset(
-        v, "kunjungan/jenisregis", mode="forecast", models=trend.fit(_daily_counts(v))), "yhat"))
+        v, "kunjungan/jenisregis", mode="forecast", models=trend.fit(_daily_counts(v))), "yhat"),
+        _trend_rows("greatest(last_day, (SELECT max(last_day) FROM line)), last_day + 30"))
 
 
 # ---------------------------------------------------------------- forecasts
@@ -439,6 +444,30 @@ def _trend_rows(days: str) -> str:
         FROM f JOIN season ON season.series_key = f.series_key AND wd = isodow(day)"""
 
 
+def _fitted_rows(history: str) -> str:
+    """Smoothing parameters from the grid by least squared error, holdout 30, horizon 90.
+
+    ``history`` defines h (series_key, d, y).
+    """
+    return f"""WITH RECURSIVE {history},
+        pts AS (SELECT series_key, y, d, row_number() OVER (PARTITION BY series_key ORDER BY d) AS i,
+                  count(*) OVER (PARTITION BY series_key) - 30 AS n FROM h),
+        train AS (SELECT * FROM pts WHERE i <= n),
+        grid AS (SELECT a, b FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS a),
+                 (SELECT unnest([0, 0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS b)),
+        fold AS (SELECT one.series_key, a, b, 1::BIGINT AS i, one.n, one.y AS l,
+              CASE WHEN b > 0 THEN two.y - one.y ELSE 0 END AS t, 0::DOUBLE AS sse
+            FROM train one JOIN train two ON two.series_key = one.series_key AND one.i = 1 AND two.i = 2, grid
+          UNION ALL
+          SELECT f.series_key, a, b, p.i, f.n, a * y + (1 - a) * (l + t),
+              b * (a * y + (1 - a) * (l + t) - l) + (1 - b) * t, sse + (y - (l + t)) * (y - (l + t))
+            FROM fold f JOIN train p ON p.series_key = f.series_key AND p.i = f.i + 1),
+        best AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY sse, a, b) AS place FROM fold WHERE i = n),
+        last AS (SELECT series_key, max(d) AS d FROM train GROUP BY 1)
+      SELECT series_key, strftime(last.d + CAST(k AS INTEGER), '%Y-%m-%d') AS time_period, round(l + k * t, 4) AS yhat
+      FROM best JOIN last USING (series_key), (SELECT unnest(generate_series(1, 90)) AS k) WHERE place = 1"""
+
+
 def register_forecasts() -> None:
     train = """train AS (SELECT series_key, list(y ORDER BY d)[:-31] AS ys, (list(d ORDER BY d)[:-31])[-1] AS last_day
         FROM h GROUP BY 1)"""
@@ -458,7 +487,7 @@ def register_forecasts() -> None:
                       FROM fold WHERE i < len(ys))
                   SELECT series_key, strftime(last_day + CAST(k AS INTEGER), '%Y-%m-%d') AS time_period, round(l + k * b, 4) AS yhat
                   FROM fold, (SELECT unnest(generate_series(1, 90)) AS k) WHERE i = len(ys)""")
-    on_visits("FC-1_fitted", lambda v: _dated(smoothing.forecast(_daily_counts(v)), "yhat"))
+    on_visits("FC-1_fitted", lambda v: _dated(smoothing.forecast(_daily_counts(v)), "yhat"), _fitted_rows(DAILY))
     on_visits("FC-2", lambda v: _dated(trend.predict(_daily_counts(v), 30), "yhat"),
               _trend_rows("first_day, last_day + 30"))
     on_visits("FC-2_fourier", lambda v: _dated(trend.fourier_predict(_daily_counts(v), 30), "trend", "yhat"))
