@@ -123,6 +123,9 @@ def test_ingest_upload_and_snapshot(spark, raw, folder):
     assert sorted(r["id_registrasi"] for r in merged.collect()) == [1, 2, 3]
     with pytest.raises(ValueError):
         ingest.merge_upload(spark, folder("a"), upload, folder("a"))
+    grown = ingest.append_upload(spark, folder("a"), upload)
+    assert sorted(map(str, grown.select("id_registrasi", "kabupaten").collect())) == sorted(
+        map(str, merged.select("id_registrasi", "kabupaten").collect()))
     built = []
     for _ in range(2):
         snap = ingest.load_or_build(spark, folder("s"), lambda: built.append(1) or merged)

@@ -80,6 +80,16 @@ def dedupe_by_key(
     return kept.select(*[key if c == key else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+def drop_known(rows: DataFrame, table: DataFrame, key: str = VISIT_KEY) -> DataFrame:
+    """Rows whose key the table does not hold.
+
+    Keys present on both sides are found first: new rows below the broadcast threshold are sent
+    to the table's files, which then need no shuffle. At most the new rows' own keys come back.
+    """
+    repeated = table.select(key).join(rows.select(key), key, "left_semi").distinct()
+    return rows.join(repeated, key, "left_anti").select(*rows.columns)
+
+
 def dedupe_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 

@@ -159,6 +159,7 @@ def cube(
     models: DataFrame | None = None,
     holdout: int = 30,
     horizon: int | None = None,
+    ordered: bool = True,
     preprocess: Hook | None = None,
     postprocess: Hook | None = None,
 ) -> DataFrame:
@@ -166,7 +167,8 @@ def cube(
 
     ``labels`` lists the category columns when they are known beforehand; otherwise a pass over
     the category column finds them. ``models`` are trend models to score in forecast mode; without
-    them the series is smoothed exponentially, ``holdout`` last buckets aside.
+    them the series is smoothed exponentially, ``holdout`` last buckets aside. Raw rows come in
+    time order, a sort of everything that is kept; ``ordered=False`` leaves it out.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
@@ -180,8 +182,8 @@ def cube(
 
     if mode == "raw":
         out = postprocess(rows) if postprocess else rows
-        ordered = out.orderBy(ts).na.fill(0)
-        return ordered.withColumn(ts, text_label(ts, pattern))
+        out = out.orderBy(ts) if ordered else out
+        return out.na.fill(0).withColumn(ts, text_label(ts, pattern))
     if mode == "aggregate":
         return cube_aggregate(rows, cats, measures, agg=agg, pivot=pivot)
     wide = cube_series(rows, ts, cats, measures, **shape)

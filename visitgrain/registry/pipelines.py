@@ -188,6 +188,13 @@ def _s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.count_by(merged, F.year(TS).cast("long").alias("tahun"), "kabupaten", out="n")
 
 
+def _s13_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, path = raw_visits(visits(spark, sf_dir)), new_folder(spark, "grown")
+    ingest.ingest_batch(spark, raw.filter(F.col(TS) < "2000-06-01"), path)
+    grown = ingest.append_upload(spark, path, raw.filter(F.col(TS) >= "2000-01-01"))
+    return agg.count_by(grown, F.year(TS).cast("long").alias("tahun"), "kabupaten", out="n")
+
+
 def register_sources() -> None:
     typed = _raw_oracle(_digest_sql("typed"))
     add("S-1", lambda s, d: _digest(clean.convert_types(files.read_csv(s, csv_path(s, d)))), typed)
@@ -207,7 +214,9 @@ def register_sources() -> None:
     cleaned = _raw_oracle(_digest_sql("cleaned"))
     add("S-11", _s11, cleaned)
     add("S-12", lambda s, d: _digest(ingest.ingest_batch(s, csv_path(s, d), new_folder(s, "ingest"), kind="csv")), cleaned)
-    add("S-13", _s13, _raw_oracle("""SELECT year(waktu_registrasi) AS tahun, kabupaten, count(*) AS n FROM cleaned GROUP BY 1, 2"""))
+    per_year = _raw_oracle("SELECT year(waktu_registrasi) AS tahun, kabupaten, count(*) AS n FROM cleaned GROUP BY 1, 2")
+    add("S-13", _s13, per_year)
+    add("S-13_append", _s13_append, per_year)
     add("S-14", lambda s, d: agg.count_by(visits(s, d).select("id_registrasi", "usia"), "usia", out="n"),
         f"WITH {VISITS_CTE} SELECT usia, count(*) AS n FROM visits GROUP BY 1")
     on_visits("U-2", lambda v: _appended(v), _digest_sql("visits"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitgrain.operators.clean import clean, convert_types, project
+from visitgrain.operators.clean import clean, convert_types, drop_known, project
 from visitgrain.operators.filters import from_time, latest_frame
 from visitgrain.operators.reshape import union_rows
 from visitgrain.schema import EVENT_TIME, VISIT_SCHEMA
@@ -41,6 +41,17 @@ def merge_upload(
     return read_stored_visits(spark, target)
 
 
+def append_upload(spark: SparkSession, current: str, upload: str | DataFrame) -> DataFrame:
+    """Clean only the upload, drop what the table already holds, and append the rest.
+
+    The table's own rows are clean and unique already, so the result has the same keys as
+    ``merge_upload`` without rewriting the table; where a key repeats, the stored row stays.
+    """
+    new = clean(read_dataset(spark, upload) if isinstance(upload, str) else upload)
+    write_visits(drop_known(new, read_stored_visits(spark, current)), current, mode="append")
+    return read_stored_visits(spark, current)
+
+
 def load_or_build(
     spark: SparkSession, path: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
