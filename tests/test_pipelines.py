@@ -3,7 +3,6 @@ import gzip
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from visitgrain.operators import clean
 from visitgrain.registry.raw import raw_visits

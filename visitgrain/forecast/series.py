@@ -36,11 +36,6 @@ def series_arrays(history: DataFrame, exog: Sequence[str] = ()) -> DataFrame:
 
 def future_periods(last: Column, horizon: int, freq: str = "D") -> Column:
     """The ``horizon`` bucket starts that follow ``last``."""
-    starts = F.transform(
-        F.sequence(F.lit(1), F.lit(horizon)), lambda i: _advance(last, i, freq)
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(horizon)), lambda i: (last + step(freq) * i).cast("timestamp_ntz")
     )
-    return starts
-
-
-def _advance(start: Column, n: Column, freq: str) -> Column:
-    return (start + step(freq) * n).cast("timestamp_ntz")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from visitgrain.forecast.series import KEY, VALUE, future_periods, series_arrays
 from visitgrain.functions.dates import weekday
@@ -15,7 +15,7 @@ from visitgrain.operators.resample import PERIOD
 ORIGIN = "2000-01-01"
 
 
-def _day(ts) -> "F.Column":
+def _day(ts: Column) -> Column:
     """Days since a fixed origin, the trend's regressor."""
     return F.datediff(ts, F.lit(ORIGIN).cast("date")).cast("double")
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visitgrain.forecast import arima, smoothing, trend
-from visitgrain.operators import aggregate as agg, clean, filters as flt, resample
+from visitgrain.operators import aggregate as agg, clean, filters as flt
 from visitgrain.operators.cube import cube, preset
 from visitgrain.operators.resample import PERIOD
-from visitgrain.plans import forecasts, revenue as rev, visits as vis
+from visitgrain.plans import forecasts
 from visitgrain.plans.common import period as bucketed
-from visitgrain.registry.core import ORACLES, VISITS_CTE, add, on_visits, rounded
-from visitgrain.registry.dashboards import SIX_MONTHS, TYPES, counts, period
+from visitgrain.registry.core import VISITS_CTE, add, on_visits, rounded
+from visitgrain.registry.dashboards import SIX_MONTHS, TYPES, counts
 from visitgrain.registry.raw import RAW_CTE, csv_path, json_path, raw_visits
 from visitgrain.schema import COLUMNS, VISIT_SCHEMA
 from visitgrain.sources import files, ingest, tables
@@ -155,7 +155,8 @@ def _s5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create, probe, append twice, probe, read by path, drop the name."""
-    path, name = new_folder(spark, "table"), f"vg_{abs(hash(new_folder(spark, 'n')))}"
+    path = new_folder(spark, "table")
+    name = "visits_" + path.rsplit("-", 1)[1]
     v = visits(spark, sf_dir).select(*COLUMNS)
     tables.create_table(spark, name, path=path)
     before = tables.has_rows(spark, name)
@@ -171,8 +172,7 @@ def _catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "snapshot")
-    build = lambda: clean.clean(raw_visits(visits(spark, sf_dir)))
-    ingest.load_or_build(spark, path, build)
+    ingest.load_or_build(spark, path, lambda: clean.clean(raw_visits(visits(spark, sf_dir))))
 
     def rebuilt() -> DataFrame:
         raise AssertionError("the snapshot should have been reused")
@@ -364,7 +364,6 @@ def register_cubes() -> None:
                       FROM visits WHERE {SIX_MONTHS} GROUP BY 1), {_spine('day', '1 DAY')}
                   SELECT strftime(d, '%Y-%m-%d') AS time_period, round(coalesce(r, 0), 4) AS total_tagihan,
                     round(coalesce(c, 0), 4) AS total_semua_hpp FROM spine LEFT JOIN g ON d = b""")
-    both = f"{', '.join(f'sum("{t}")' for t in TYPES)}"
     on_visits("G-3", lambda v: rounded(cube(v, cats=counts_by, measures=[REVENUE], mode="series", freq="M", labels=TYPES), REVENUE, digits=2),
               f"""WITH g AS (SELECT {month}, {counts(TYPES, 'jenis_registrasi', True)}, sum(total_tagihan) AS r FROM visits GROUP BY 1),
                     {_spine('month', '1 MONTH')}

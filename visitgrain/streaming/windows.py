@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitgrain.sources.fs import finished
-from visitgrain.streaming.landing import _start
+from visitgrain.streaming.landing import start
 
 WINDOW = "time_period"
 
@@ -25,7 +25,7 @@ def windowed(
 def append_closed(series: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write each window once, after the watermark has passed its end."""
     writer = series.writeStream.outputMode("append").format("parquet").option("path", target)
-    return _start(writer, checkpoint, every).start()
+    return start(writer, checkpoint, every)
 
 
 def _version(target: str, batch_id: int) -> str:
@@ -57,7 +57,7 @@ def upsert_live(
     def sink(changed: DataFrame, batch_id: int) -> None:
         upsert(changed, batch_id, target, keys)
 
-    return _start(series.writeStream.outputMode("update").foreachBatch(sink), checkpoint, every).start()
+    return start(series.writeStream.outputMode("update").foreachBatch(sink), checkpoint, every)
 
 
 def read_live(spark: SparkSession, target: str) -> DataFrame:
