@@ -189,3 +189,19 @@ def test_hot_key(spark, visits):
     assert {r["tahun"]: r["count"] for r in patients.new_per_year(hot).collect()} == first
     pairs = pdf.drop_duplicates(["id_pasien", "kategori_usia"]).kategori_usia.value_counts().to_dict()
     assert {r[0]: r[1] for r in patients.by_age(hot).collect()} == pairs
+
+
+def test_lazy_view_answers_alike(spark, sf_dir, visits):
+    """Without a shared folder queries run over the joins themselves."""
+    from visitgrain.plans import utility
+    from visitgrain.sources.visits import visits_view
+
+    lazy = visits_view(spark, sf_dir)
+    assert lazy.count() == visits.count()
+    types = ["IGD", "Rawat Inap", "Rawat Jalan"]
+    for plan in (
+        vis.growth, utility.last_update, utility.filter_options, patients.new_per_year,
+        lambda v: vis.by_registration_type(v, values=types),
+        lambda v: patients.by_gender(v, year=2000, district="NATION_3"),
+    ):
+        assert rows(plan(lazy)) == rows(plan(visits))
