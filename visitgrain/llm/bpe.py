@@ -29,17 +29,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from visitgrain.llm.common import scan, texts_of, type_of
+from visitgrain.llm.pieces import PieceTable, distinct, joined, together
 
 #: Bounds of word lengths in bytes that share a matrix; longer words are merged with a heap.
 WIDTHS = (0, 6, 10, 14, 20, 32, 64)
-#: Pieces at which a Python worker's recent table becomes the older one; the one before goes.
-KEPT = 1 << 18
 NO_RANK = 1 << 40
 
+#: White space of plain texts, beside the space.
+_WHITE = "\t\n\x0b\x0c\r\x85\xa0"
 _PLAIN_TEXT = regex.compile(r"[^\u0250-\U0010ffff\x1c-\x1f\u0130]*+")
 
 
@@ -154,8 +156,7 @@ class WordEncoder:
         self.final = np.array([vocab[c + suffix] for c in letters], np.int64)
         names = {i: c for c, i in vocab.items()} | {i: c for c, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.table = PieceTable(self._make)
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words."""
@@ -183,51 +184,38 @@ class WordEncoder:
             out[words[i]] = np.array(merge_long_word(parts, self.ranks), "<u4").tobytes()
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        """Put the ids of pieces into the recent table."""
-        parted = {p: self.words.findall(p) for p in missing if p not in self.older}
-        made = self._words(list({w for words in parted.values() for w in words}))
-        for p in missing:
-            self.recent[p] = b"".join([made[w] for w in parted[p]]) if p in parted else self.older[p]
-
-    def _pieces(self, text: str) -> list[str]:
-        """Normalised pieces of a text without special tokens."""
-        if _PLAIN_TEXT.fullmatch(text):
-            return text.lower().split()
-        return self.normalizer.normalize_str(text).split(" ")
+    def _make(self, pieces: list[str]) -> list[bytes]:
+        parted = [self.words.findall(p) for p in pieces]
+        made = self._words(list({w for words in parted for w in words}))
+        return [b"".join([made[w] for w in words]) for words in parted]
+
+    def _normal(self, text: str) -> str:
+        """A text without special tokens, normalised; pieces stand between spaces."""
+        if not _PLAIN_TEXT.fullmatch(text):
+            return self.normalizer.normalize_str(text)
+        text = text.lower()
+        for white in _WHITE:
+            if white in text:
+                text = text.replace(white, " ")
+        return text
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[list[str] | bytes]] = []
+        return [ids for run in together(texts) for ids in self._run(run)]
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        parts, marks = [], []  # plain stretches of all texts; for each text its stretches and special ids
         for text in texts:
-            parts, at = [], 0
+            own, at = [], 0
             for m in self.cut.finditer(text) if "<|" in text else ():
-                parts += [self._pieces(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+                own += [None, np.array([self.special[m[0]]], "<u4").tobytes()]
+                parts.append(self._normal(text[at : m.start()]))
                 at = m.end()
-            cut.append([*parts, self._pieces(text[at:] if at else text)])
-        if len(self.recent) >= KEPT:
-            self.older, self.recent = self.recent, {}
-        known = self.recent.get
-        missing: set[str] = set()
-        found = []
-        for parts in cut:
-            for part in parts:
-                if isinstance(part, list):
-                    ids = list(map(known, part))
-                    if None in ids:
-                        missing.update([p for p, i in zip(part, ids) if i is None])
-                    found.append(ids)
-        self._learn(missing)
-        known, found = self.recent.__getitem__, iter(found)
-        return [
-            b"".join(
-                part
-                if isinstance(part, bytes)
-                else b"".join([known(p) if i is None else i for p, i in zip(part, next(found))])
-                for part in parts
-            )
-            for parts in cut
-        ]
+            parts.append(self._normal(text[at:] if at else text))
+            marks.append([*own, None])
+        offsets, index, pieces = distinct(pc.split_pattern(pa.array(parts, pa.string()), " "))
+        made = iter(joined(offsets, index, self.table.ids(pieces)))
+        return [b"".join([next(made) if mark is None else mark for mark in own]) for own in marks]
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces, special ones included, as the file has no decoder."""
@@ -273,7 +261,7 @@ def encode_documents(
         "ids_sha256": "string",
         "decoded_sha256": "string",
     } | ({"ids": "binary", "decoded": "string"} if whole else {})
-    return scan(docs, [id_col, text_col], start, out)
+    return scan(docs, [id_col, text_col], start, out, rows=1024)
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
