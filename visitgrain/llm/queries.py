@@ -117,7 +117,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "counts",
     )
     first = counted.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("text_hash", "hash")
-    marked = counted.join(first, F.col("text_hash") == F.col("hash"))
+    marked = settle(counted.join(first, F.col("text_hash") == F.col("hash")), spark, "marked")
     original = F.col("doc_id").eqNullSafe(F.col("first_id"))
     again = marked.where(original & foreign)
     ledger = token_counts.Ledger(spark, new_folder(spark, "ledger"))
