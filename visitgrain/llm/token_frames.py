@@ -22,6 +22,7 @@ checksum; an empty table gives no file; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -31,71 +32,97 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from visitgrain.llm.common import scan, settle, texts_of
+from visitgrain.llm.pieces import PieceTable, distinct, joined, together
 
 # Fixed values of the zstandard formats.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX = 0x184D2A5E, 0x184D2A50
 SEEK_MAGIC, WITH_CHECKSUM = 0x8F92EAB1, 0x80
 
 LEVEL = 3
-#: Pieces at which a Python worker's recent table becomes the older one; the one before goes.
-KEPT = 1 << 18
+#: Pieces that go through the library as one text.
+LINES = 256
 #: Size of a file's compressed frames to aim for.
 FILE_BYTES = 64 << 20
 
-_BEFORE_WORD = re.compile(r" (?=[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])")
+# The characters that the byte-level pattern takes for white space, and four more.
+_WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEFORE_WORD = re.compile(f" (?=[^{_WHITE}])")
+_ANY_WHITE = re.compile(f"[{_WHITE}]")
+#: A space that no word follows.
+_ODD = re.compile(f" (?![^{_WHITE}])")
 
 
 class PieceEncoder:
     """Encodes with the tokenizers library, one distinct piece of text once.
 
-    A text is cut before each space that a word follows; the byte-level pattern always cuts there
-    too, so the pieces' ids are the text's ids. Texts that hold a special token are encoded whole.
+    A text is cut at each space that a word follows; the byte-level pattern always cuts there too,
+    so the pieces' ids are the text's ids. Texts with other white space after a space, or with a
+    special token, are cut more carefully or encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.table = PieceTable(self._make)
+
+    def _make(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces with a space before each.
+
+        Many pieces without white space go through the library as one text, a line each: the
+        pattern makes a token of its own of each line end, and that is where the ids are cut.
+        """
+        made: dict[str, bytes] = {}
+        lines = [p for p in pieces if not _ANY_WHITE.search(p)]
+        runs = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
+        texts = ["\n".join([" " + p for p in run]) for run in runs]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.newline[0]).tolist()
+            if len(ends) == len(run) - 1:
+                raw = ids.tobytes()
+                made.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(run, [0, *(x + 1 for x in ends)], [*ends, len(ids)]))
+        alone = [p for p in pieces if p not in made]
+        made.update(zip(alone, self._whole([" " + p for p in alone])))
+        return [made[p] for p in pieces]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in made]
 
+    def _carefully(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._whole([text])[0]
+        first, *pieces = _BEFORE_WORD.split(text)
+        distinct_pieces = list(dict.fromkeys(pieces))
+        ids = dict(zip(distinct_pieces, self.table.ids(distinct_pieces)))
+        return self._whole([first])[0] + b"".join(map(ids.__getitem__, pieces))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.recent) >= KEPT:
-            self.older, self.recent = self.recent, {}
-        known, missing, cut = self.recent.get, set(), []
-        for text in texts:
-            if any(s in text for s in self.special):
-                cut.append((None, [text], None))
-                continue
-            first, *pieces = _BEFORE_WORD.split(text)
-            ids = list(map(known, pieces))
-            if None in ids:
-                missing.update([p for p, i in zip(pieces, ids) if i is None])
-            cut.append((first, pieces, ids))
-        fresh = [p for p in missing if p not in self.older]
-        made = dict(zip(fresh, self._whole([" " + p for p in fresh])))
-        for p in missing:
-            self.recent[p] = made[p] if p in made else self.older[p]
-        alone = iter(self._whole([pieces[0] if ids is None else first for first, pieces, ids in cut]))
-        known = self.recent.__getitem__
-        return [
-            next(alone)
-            if ids is None
-            else next(alone) + b"".join([known(p) if i is None else i for p, i in zip(pieces, ids)])
-            for _, pieces, ids in cut
-        ]
+        return [ids for run in together(texts) for ids in self._run(run)]
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        careful = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
+        plain = [t for t, c in zip(texts, careful) if not c]
+        # What stands before the first space has no space of its own.
+        heads = [t.partition(" ")[0] for t in plain]
+        rest = [t[len(h) + 1 :] for t, h in zip(plain, heads)]
+        some = [i for i, (t, h) in enumerate(zip(plain, heads)) if len(t) > len(h)]
+        offsets, index, pieces = distinct(pc.split_pattern(pa.array([rest[i] for i in some], pa.string()), " "))
+        tails = dict(zip(some, joined(offsets, index, self.table.ids(pieces))))
+        made = iter([h + tails.get(i, b"") for i, h in enumerate(self._whole(heads))])
+        return [self._carefully(t) if c else next(made) for t, c in zip(texts, careful)]
 
 
 @lru_cache(2)
@@ -183,7 +210,13 @@ def write_frames(
         return work
 
     frames = settle(
-        scan(docs, [id_col, text_col], encode, {"id": "bigint", "frame": "binary", "size": "bigint", "checksum": "bigint"}),
+        scan(
+            docs,
+            [id_col, text_col],
+            encode,
+            {"id": "bigint", "frame": "binary", "size": "bigint", "checksum": "bigint"},
+            rows=1024,
+        ),
         spark,
         "frames",
     )
@@ -246,8 +279,9 @@ def read_frames(manifest: DataFrame, id_col: str = "doc_id", whole: bool = True)
                 held.close()
 
     out = f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if whole else "")
-    # Each file to a task of its own.
-    return manifest.select("file", "first_token", "place").repartition("place").select("file", "first_token").mapInArrow(read, out)
+    # As many tasks as files: a number that is given is not merged at run time.
+    files = manifest.select("file", "first_token", "place").repartition(max(manifest.count(), 1), "place")
+    return files.select("file", "first_token").mapInArrow(read, out)
 
 
 def read_documents(manifest: DataFrame, ids: Iterable[int], id_col: str = "doc_id") -> DataFrame:
@@ -266,4 +300,5 @@ def read_documents(manifest: DataFrame, ids: Iterable[int], id_col: str = "doc_i
                         [pa.array(a, pa.int64()), pa.array(b, pa.binary())], names=[id_col, "ids"]
                     )
 
-    return manifest.select("file").repartition("file").mapInArrow(read, f"`{id_col}` bigint, ids binary")
+    files = manifest.select("file").repartition(max(manifest.count(), 1), "file")
+    return files.mapInArrow(read, f"`{id_col}` bigint, ids binary")
