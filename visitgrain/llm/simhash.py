@@ -321,14 +321,16 @@ def keep_one(
     if nameless.isEmpty():
         return with_id
 
+    names, width = list(dict.fromkeys((text_col, *keep))), how.get("width", 3)
+
     def start():
         def work(*columns):
-            made = np.array([fingerprint(t, how.get("width", 3)) for t in texts_of(columns[0])], np.uint64)
-            return {"fp": (made.view(np.int64), pa.int64()), **dict(zip(keep, columns[1:]))}
+            made = np.array([fingerprint(t, width) for t in texts_of(columns[0])], np.uint64)
+            return {"fp": (made.view(np.int64), pa.int64()), **dict(zip(names, columns))}
 
         return work
 
-    rows = scan(nameless, [text_col, *keep], start, {"fp": "bigint", **{c: type_of(docs, c) for c in keep}})
+    rows = scan(nameless, names, start, {"fp": "bigint", **{c: type_of(docs, c) for c in keep}})
     without_id = (
         rows.join(answer.where("component_id is null"), F.col("fp") == F.col("of")).dropDuplicates(["root"]).select(*keep)
     )
