@@ -51,7 +51,11 @@ def bucket(ts: Column | str, freq: str) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
     count, unit = parse_frequency(freq)
     if count == 1:
-        return F.date_trunc(unit, ts).cast("timestamp_ntz")
+        # Truncation goes by way of the session's zone, where an hour can be missing or double.
+        zone = F.current_timezone().isin("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+        wrong = F.raise_error(F.lit("buckets need spark.sql.session.timeZone=UTC")).cast("timestamp_ntz")
+        made = F.date_trunc(unit, ts).cast("timestamp_ntz")
+        return F.when(zone, made).otherwise(wrong) if unit == "hour" else made
     if unit in _MONTHS:
         width = count * _MONTHS[unit]
         index = F.year(ts) * 12 + F.month(ts) - 1

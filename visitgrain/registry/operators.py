@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from visitgrain.functions import dates
 from visitgrain.functions.measures import bankers_round
+from visitgrain.operators.cube import cube_series
 from visitgrain.operators import aggregate as agg, filters as flt, rank, reshape, resample
 from visitgrain.operators.resample import PERIOD
 from visitgrain.plans.common import period as bucketed
@@ -283,9 +284,7 @@ def register_joins() -> None:
                  FROM visits GROUP BY 1""")
 
     def counts_at_rows(v):
-        per_time = reshape.pivot_count(v, [F.col(TS)], "jenis_registrasi", TYPES, fill=True)
-        joined = per_time.join(v.select(TS, REVENUE), TS, "inner")
-        out = joined.groupBy(bucketed("month")).agg(*[F.sum(f"`{t}`").alias(t) for t in TYPES], F.sum(REVENUE).alias(REVENUE))
+        out = cube_series(v, TS, ["jenis_registrasi"], [REVENUE], freq="M", labels=TYPES, compat=True)
         return resample.labelled(rounded(out, REVENUE, digits=2), "M")
 
     on_visits("J-4", counts_at_rows,

@@ -12,7 +12,7 @@ from visitgrain.plans import forecasts
 from visitgrain.plans.common import period as bucketed
 from visitgrain.registry.core import VISITS_CTE, add, on_visits, rounded
 from visitgrain.registry.dashboards import SIX_MONTHS, TYPES, counts
-from visitgrain.registry.raw import RAW_CTE, csv_path, json_path, raw_visits
+from visitgrain.registry.raw import RAW_CTE, csv_path, json_files_path, json_path, raw_visits
 from visitgrain.schema import COLUMNS, VISIT_SCHEMA
 from visitgrain.sources import files, ingest, tables
 from visitgrain.sources.fs import new_folder
@@ -96,12 +96,13 @@ def register_cleaning() -> None:
            f"SELECT {_title_sql('''coalesce(kabupaten, 'Tidak Diketahui')''')} AS kabupaten, count(*) AS n FROM raw GROUP BY 1")
     on_raw("C-7", lambda r: agg.count_by(clean.blank_label(r), "jenis_kelamin", out="n"),
            "SELECT nullif(jenis_kelamin, 'Ambigu') AS jenis_kelamin, count(*) AS n FROM raw GROUP BY 1")
-    on_visits("C-8", lambda v: _as_text(clean.dedupe_by_key(v.select("id_registrasi", TS, "diagnosa_primer", REVENUE, "rujukan"))),
-              """SELECT id_registrasi, strftime(waktu_registrasi, '%Y-%m-%d %H:%M:%S') AS waktu_registrasi, diagnosa_primer,
-                 total_tagihan, rujukan FROM (SELECT *, row_number() OVER (PARTITION BY id_registrasi
-                   ORDER BY waktu_registrasi, diagnosa_primer NULLS FIRST, total_tagihan, rujukan) AS rn FROM visits) WHERE rn = 1""")
-    on_visits("C-9", lambda v: clean.dedupe_rows(v.select("id_pasien", "diagnosa_primer", "jenis_penjamin")),
-              "SELECT DISTINCT id_pasien, diagnosa_primer, jenis_penjamin FROM visits")
+    one_per_key = f"""SELECT {AS_TEXT} FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id_registrasi
+        ORDER BY waktu_registrasi, {', '.join(f'"{c}" NULLS FIRST' for c in COLUMNS if c not in ('id_registrasi', TS))}) AS rn
+        FROM visits) WHERE rn = 1)"""
+    on_visits("C-8", lambda v: _as_text(clean.dedupe_by_key(v.select(*COLUMNS))), one_per_key)
+    on_visits("C-8_hot", lambda v: _as_text(clean.dedupe_by_key(v.select(*COLUMNS), hot_keys=True)), one_per_key)
+    on_visits("C-9", lambda v: _as_text(clean.dedupe_rows(v.select(*COLUMNS).unionAll(v.select(*COLUMNS)))),
+              f"SELECT DISTINCT {AS_TEXT} FROM visits")
     on_raw("C-10", lambda r: agg.count_by(clean.rename_values(r, "rujukan", {"Dalam": "Dalam RS", "Luar": "Luar RS"}), "rujukan", out="n"),
            """SELECT CASE rujukan WHEN 'Dalam' THEN 'Dalam RS' WHEN 'Luar' THEN 'Luar RS' ELSE rujukan END AS rujukan,
               count(*) AS n FROM raw GROUP BY 1""")
@@ -195,6 +196,14 @@ def _s13_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.count_by(grown, F.year(TS).cast("long").alias("tahun"), "kabupaten", out="n")
 
 
+def _s12_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same load twice holds the same rows."""
+    target = new_folder(spark, "twice")
+    for _ in range(2):
+        out = ingest.ingest_batch(spark, csv_path(spark, sf_dir), target, kind="csv")
+    return _digest(out)
+
+
 def register_sources() -> None:
     typed = _raw_oracle(_digest_sql("typed"))
     add("S-1", lambda s, d: _digest(clean.convert_types(files.read_csv(s, csv_path(s, d)))), typed)
@@ -211,7 +220,10 @@ def register_sources() -> None:
     for key in ("S-6", "S-7", "S-8", "S-9"):
         add(key, _catalog_table, f"WITH {VISITS_CTE} {probes} ({_digest_sql('visits')})")
     add("S-10", lambda s, d: _digest(clean.convert_types(files.read_json(s, json_path(s, d)))), typed)
+    add("S-10_lines", lambda s, d: _digest(clean.convert_types(
+        files.read_json(s, f"{json_files_path(s, d)}/*", multi_line=True))), typed)
     cleaned = _raw_oracle(_digest_sql("cleaned"))
+    add("S-12_again", _s12_again, cleaned)
     add("S-11", _s11, cleaned)
     add("S-12", lambda s, d: _digest(ingest.ingest_batch(s, csv_path(s, d), new_folder(s, "ingest"), kind="csv")), cleaned)
     per_year = _raw_oracle("SELECT year(waktu_registrasi) AS tahun, kabupaten, count(*) AS n FROM cleaned GROUP BY 1, 2")
@@ -219,6 +231,9 @@ def register_sources() -> None:
     add("S-13_append", _s13_append, per_year)
     add("S-14", lambda s, d: agg.count_by(visits(s, d).select("id_registrasi", "usia"), "usia", out="n"),
         f"WITH {VISITS_CTE} SELECT usia, count(*) AS n FROM visits GROUP BY 1")
+    add("S-14_limit", lambda s, d: visits(s, d).select("id_registrasi", "usia").limit(1000).agg(
+        F.count(F.lit(1)).alias("n"), F.count("id_registrasi").alias("ids")),
+        f"WITH {VISITS_CTE} SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS ids FROM visits")
     on_visits("U-2", lambda v: _appended(v), _digest_sql("visits"))
 
 
@@ -308,13 +323,14 @@ def _st8_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = new_folder(spark, "live")
     series = windows.windowed(_events(spark, sf_dir), "ts", ["event_type"], "value", "1 hour")
     windows.upsert_live(series, target, f"{target}-checkpoint", [windows.WINDOW, "event_type"]).awaitTermination()
-    return _series_text(windows.read_live(spark, target))
+    return _series_text(windows.read_live(spark, target, series.schema))
 
 
 def _st4_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of a user inside the watermark are dropped as they stream in."""
+    """Repeats of an event inside the watermark are dropped as they stream in."""
     target = new_folder(spark, "dedupe")
-    stream = landing.dedupe_stream(_events(spark, sf_dir), "event_id", "ts", "10 minutes")
+    events = _events(spark, sf_dir)
+    stream = landing.dedupe_stream(events.unionByName(events), "event_id", "ts", "10 minutes")
     landing.copy_to_parquet(stream, target, f"{target}-checkpoint").awaitTermination()
     return agg.count_by(spark.read.schema(stream.schema).parquet(target), "event_type", out="n")
 
@@ -476,6 +492,80 @@ def _fitted_rows(history: str) -> str:
       FROM best JOIN last USING (series_key), (SELECT unnest(generate_series(1, 90)) AS k) WHERE place = 1"""
 
 
+# Orders whose least-squares fits have a closed form, so that SQL can check the search and the recursion.
+CLOSED = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0)]
+
+# Of each series: AIC and coefficients of the closed orders. Scoring starts after the lags that the
+# longest candidate needs: reach 1, and a long autoregression of 3.
+CLOSED_FITS = """steps AS (SELECT *, row_number() OVER s - 1 AS i, lag(y) OVER s AS y1, y - lag(y) OVER s AS w
+      FROM h WINDOW s AS (PARTITION BY series_key ORDER BY d)),
+    lagged AS (SELECT *, lag(w) OVER (PARTITION BY series_key ORDER BY i) AS w1 FROM steps),
+    fitted AS (
+      SELECT series_key, 0 AS p, 0 AS d, 0 AS q, avg(y) AS c, 0.0 AS phi, 1 AS k, count(*) AS m, var_pop(y) AS var
+        FROM lagged WHERE i >= 4 GROUP BY 1
+      UNION ALL
+      SELECT series_key, 1, 0, 0, regr_intercept(y, y1), regr_slope(y, y1), 2, count(*),
+          (regr_syy(y, y1) - regr_sxy(y, y1) * regr_sxy(y, y1) / regr_sxx(y, y1)) / count(*)
+        FROM lagged WHERE i >= 4 GROUP BY 1
+      UNION ALL
+      SELECT series_key, 0, 1, 0, 0.0, 0.0, 0, count(*), avg(w * w) FROM lagged WHERE i >= 5 GROUP BY 1
+      UNION ALL
+      SELECT series_key, 1, 1, 0, 0.0, sum(w * w1) / sum(w1 * w1), 1, count(*),
+          (sum(w * w) - sum(w * w1) * sum(w * w1) / sum(w1 * w1)) / count(*)
+        FROM lagged WHERE i >= 5 GROUP BY 1),
+    scored AS (SELECT *, m * ln(var) + 2 * (k + 1) AS aic FROM fitted WHERE abs(phi) < 1),
+    ends AS (SELECT series_key, max_by(y, i) AS y, max_by(w, i) AS w, max(d) AS last_day FROM lagged GROUP BY 1)"""
+
+_BEST = "SELECT *, row_number() OVER (PARTITION BY {} ORDER BY aic, p, d, q) AS place FROM scored {}"
+
+
+def _closed_forecast(history: str, horizon: int, lead: str | None = None, digits: int = 4) -> str:
+    """Forecast rows with the best closed order of each series, or of the lead series for all."""
+    best = _BEST.format("series_key", "")
+    join = "b.series_key = s.series_key"
+    if lead:
+        best, join = _BEST.format("1", f"WHERE series_key = {lead}"), "true"
+    return f"""WITH {history}, {CLOSED_FITS}, ranked AS ({best}),
+          best AS (SELECT series_key, p AS bp, d AS bd, q AS bq FROM ranked WHERE place = 1)
+        SELECT s.series_key, strftime(last_day + CAST(n AS INTEGER), '%Y-%m-%d') AS time_period,
+          round(CASE WHEN s.d = 0 AND s.p = 0 THEN c
+            WHEN s.d = 0 THEN c * (1 - phi ** n) / (1 - phi) + phi ** n * y
+            WHEN s.p = 0 THEN y ELSE y + w * phi * (1 - phi ** n) / (1 - phi) END, {digits}) AS yhat, s.p, s.d, s.q
+        FROM scored s JOIN best b ON {join} AND s.p = bp AND s.d = bd AND s.q = bq
+          JOIN ends e ON e.series_key = s.series_key, (SELECT unnest(generate_series(1, {horizon})) AS n)"""
+
+
+def _recent(value: str, back: str) -> str:
+    """h: a daily series per registration type over the last part of the data."""
+    return f"""h AS (SELECT jenis_registrasi AS series_key, CAST(date_trunc('day', waktu_registrasi) AS DATE) AS d,
+        CAST({value} AS DOUBLE) AS y FROM visits
+        WHERE waktu_registrasi >= (SELECT max(waktu_registrasi) - INTERVAL {back} FROM visits) GROUP BY 1, 2)"""
+
+
+MEASURE_HISTORY = f"""sums AS (SELECT CAST(date_trunc('day', waktu_registrasi) AS DATE) AS d, sum({REVENUE}) AS r, sum({COST}) AS k
+      FROM visits WHERE waktu_registrasi >= (SELECT max(waktu_registrasi) - INTERVAL 6 MONTH FROM visits) GROUP BY 1),
+    h AS (SELECT '{REVENUE}' AS series_key, d, r AS y FROM sums UNION ALL SELECT '{COST}', d, k FROM sums)"""
+
+
+def register_closed_forecasts() -> None:
+    on_visits("FC-4_closed", lambda v: rounded(arima.fit(_daily_counts(v), CLOSED).select("series_key", "p", "d", "q", "aic"), "aic"),
+              f"WITH {DAILY}, {CLOSED_FITS} SELECT series_key, p, d, q, round(aic, 4) AS aic FROM scored")
+    on_visits("FC-5_closed", lambda v: rounded(arima.best_orders(_daily_counts(v), CLOSED), "target"),
+              f"""WITH {DAILY}, {CLOSED_FITS}, best AS ({_BEST.format("series_key", "")})
+                  SELECT series_key, p, d, q, round(-aic, 4) AS target FROM best WHERE place = 1""")
+    on_visits("FC-6_closed", lambda v: _dated(arima.forecast(_daily_counts(v), 20, CLOSED), "yhat"), _closed_forecast(DAILY, 20))
+    counts, revenue = _recent("count(*)", "180 DAY"), _recent(f"sum({REVENUE})", "6 MONTH")
+    first = "(SELECT min(series_key) FROM h)"
+    on_visits("FC-7_closed", lambda v: _dated(forecasts.visits_by_registration_type(v, shared_order=True, orders=CLOSED), "yhat"),
+              _closed_forecast(counts, 30, first))
+    on_visits("FC-8_closed", lambda v: _dated(forecasts.revenue_and_cost(v, orders=CLOSED), "yhat", digits=1),
+              _closed_forecast(MEASURE_HISTORY, 30, f"'{REVENUE}'", 1))
+    on_visits("Q-6_closed", lambda v: _dated(forecasts.visits_by_registration_type(v, orders=CLOSED), "yhat"),
+              _closed_forecast(counts, 30))
+    on_visits("Q-27_closed", lambda v: _dated(forecasts.revenue_by_registration_type(v, orders=CLOSED), "yhat", digits=1),
+              _closed_forecast(revenue, 30, digits=1))
+
+
 def register_forecasts() -> None:
     train = """train AS (SELECT series_key, list(y ORDER BY d)[:-31] AS ys, (list(d ORDER BY d)[:-31])[-1] AS last_day
         FROM h GROUP BY 1)"""
@@ -498,7 +588,7 @@ def register_forecasts() -> None:
     on_visits("FC-1_fitted", lambda v: _dated(smoothing.forecast(_daily_counts(v)), "yhat"), _fitted_rows(DAILY))
     on_visits("FC-2", lambda v: _dated(trend.predict(_daily_counts(v), 30), "yhat"),
               _trend_rows("first_day, last_day + 30"))
-    on_visits("FC-2_fourier", lambda v: _dated(trend.fourier_predict(_daily_counts(v), 30), "trend", "yhat"))
+    on_visits("FC-2_fourier", lambda v: _dated(trend.fourier_predict(_daily_counts(v), 30, yearly=10), "trend", "weekly", "yhat", "yhat_lower", "yhat_upper"))
 
     def stored_models(v: DataFrame) -> DataFrame:
         path, history = new_folder(v.sparkSession, "models"), _daily_counts(v)
@@ -527,3 +617,4 @@ def register() -> None:
     register_streams()
     register_cubes()
     register_forecasts()
+    register_closed_forecasts()

@@ -60,6 +60,15 @@ def _write_json_arrays(df: DataFrame, path: str, size: int = 500) -> None:
     text.repartition(6).write.text(path)
 
 
+def _write_json_files(df: DataFrame, path: str) -> None:
+    """Files of one array each, a record to a line."""
+    text = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    # Sixteen groups, so that an array never holds the whole table.
+    part = F.pmod(F.xxhash64("value"), F.lit(16)).alias("part")
+    arrays = text.groupBy(part).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     path = stored_once(spark, sf_dir, name, lambda to: write(raw_visits(visits(spark, sf_dir)), to))
     if path is None:
@@ -71,6 +80,10 @@ def csv_path(spark: SparkSession, sf_dir: str, compression: str = "none") -> str
     return _stored(spark, sf_dir, f"csv-{compression}", lambda d, to: _write_csv(d, to, compression))
 
 
+def json_files_path(spark: SparkSession, sf_dir: str) -> str:
+    return _stored(spark, sf_dir, "json-files", _write_json_files)
+
+
 def json_path(spark: SparkSession, sf_dir: str) -> str:
     return _stored(spark, sf_dir, "json", _write_json_arrays)
 

@@ -9,21 +9,45 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from visitgrain.operators.clean import clean, convert_types, drop_known, project
 from visitgrain.operators.filters import from_time, latest_frame
 from visitgrain.operators.reshape import union_rows
-from visitgrain.schema import EVENT_TIME, VISIT_SCHEMA
-from visitgrain.sources.files import read_dataset
+from visitgrain.schema import EVENT_TIME, VISIT_KEY, VISIT_SCHEMA
+from visitgrain.sources.files import CORRUPT, read_dataset
 from visitgrain.sources.fs import is_written
 from visitgrain.sources.tables import read_stored_visits, write_visits
 
 
 def ingest_batch(
-    spark: SparkSession, source: str | DataFrame, target: str, mode: str = "strict", kind: str | None = None
+    spark: SparkSession,
+    source: str | DataFrame,
+    target: str,
+    mode: str = "strict",
+    kind: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read, project, cast, clean and append to the partitioned visits table at ``target``."""
-    raw = read_dataset(spark, source, kind=kind) if isinstance(source, str) else source
-    write_visits(clean(raw, mode=mode), target, mode="append")
+    """Read, project, cast, clean and append to the partitioned visits table at ``target``.
+
+    Records whose key the table already holds are left out, so a load that is run again adds
+    nothing. A record without its key or its time is refused in strict mode and dropped in
+    permissive mode, like one that could not be read.
+    """
+    raw = read_dataset(spark, source, kind=kind, multi_line=multi_line, mode=mode) if isinstance(source, str) else source
+    if CORRUPT in raw.columns:
+        raw = raw.filter(F.col(CORRUPT).isNull())
+    rows = with_identity(clean(raw, mode=mode), mode)
+    if is_written(spark, target):
+        rows = drop_known(rows, read_stored_visits(spark, target))
+    write_visits(rows, target, mode="append")
     return read_stored_visits(spark, target)
 
 
+def with_identity(rows: DataFrame, mode: str = "strict") -> DataFrame:
+    """Rows that have a key and an event time; in strict mode one without them fails the job."""
+    whole = F.col(VISIT_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull()
+    if mode == "permissive":
+        return rows.filter(whole)
+    failure = F.raise_error(F.lit(f"a record lacks {VISIT_KEY} or {EVENT_TIME}"))
+    return rows.filter(F.when(whole, True).otherwise(failure.cast("boolean")))
+
+
 def merge_upload(
     spark: SparkSession, current: str, upload: str | DataFrame, target: str
 ) -> DataFrame:
@@ -48,7 +72,11 @@ def append_upload(spark: SparkSession, current: str, upload: str | DataFrame) ->
     ``merge_upload`` without rewriting the table; where a key repeats, the stored row stays.
     """
     new = clean(read_dataset(spark, upload) if isinstance(upload, str) else upload)
-    write_visits(drop_known(new, read_stored_visits(spark, current)), current, mode="append")
+    new = with_identity(new).persist()  # both sides of drop_known read it
+    try:
+        write_visits(drop_known(new, read_stored_visits(spark, current)), current, mode="append")
+    finally:
+        new.unpersist()
     return read_stored_visits(spark, current)
 
 

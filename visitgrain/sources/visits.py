@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from visitgrain.session import shared_dir
 from visitgrain.sources.fs import finished, hadoop_path
-from visitgrain.sources.tables import read_stored_visits, write_visits
+from visitgrain.sources.tables import read_stored_visits, with_partitions, write_visits
 
 # Part of every stored table's name; raise it when what is written changes.
 LAYOUT_VERSION = "2"
@@ -59,9 +59,6 @@ JOIN {region} r ON n.n_regionkey=r.r_regionkey
 JOIN {part} p ON l.l_partkey=p.p_partkey
 """
 
-_opened: dict[tuple[str, str], DataFrame] = {}
-
-
 def table_path(sf_dir: str, table: str) -> str:
     return f"{sf_dir.rstrip('/')}/{table}.parquet"
 
@@ -115,15 +112,12 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visits table, stored once per version of the base tables.
 
     Partition columns are included so that time filters prune. Without a shared folder the lazy
-    view is returned instead.
+    view is returned instead, with the same columns.
     """
     path = stored_once(
         spark, sf_dir, "visits",
         lambda to: write_visits(visits_view(spark, sf_dir), to, mode="error"),
     )
     if path is None:
-        return visits_view(spark, sf_dir)
-    key = (spark.conf.get("spark.app.id", ""), path)
-    if key not in _opened:
-        _opened[key] = read_stored_visits(spark, path)
-    return _opened[key]
+        return with_partitions(visits_view(spark, sf_dir))
+    return read_stored_visits(spark, path)

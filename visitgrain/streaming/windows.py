@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from visitgrain.sources.fs import finished
@@ -60,6 +60,7 @@ def upsert_live(
     return start(series.writeStream.outputMode("update").foreachBatch(sink), checkpoint, every)
 
 
-def read_live(spark: SparkSession, target: str) -> DataFrame:
-    """The newest complete version."""
-    return spark.read.parquet(finished(spark, f"{target}/v*")[-1])
+def read_live(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    """The newest complete version; empty before the first."""
+    done = finished(spark, f"{target}/v*")
+    return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
