@@ -141,5 +141,26 @@ def test_regressors(history):
     assert arima.fit(with_x, [(1, 0, 0)], exog=["x"]).first()["exog"][0] == pytest.approx(2.5, abs=0.05)
 
 
+def test_forecast_with_regressors(spark, history):
+    rng = np.random.default_rng(2)
+    x = 50 + 10 * np.sin(np.arange(230))
+    df = history(a=3 * x[:200] + rng.normal(scale=0.5, size=200))
+    times = [(i, float(v)) for i, v in enumerate(x)]
+    known = spark.createDataFrame(times, "i int, x double").select(
+        F.expr("CAST(date_add(DATE'2024-01-01', i) AS TIMESTAMP_NTZ)").alias("time_period"), "x", "i")
+    with_x = df.join(known.drop("i"), "time_period")
+    future = known.filter("i >= 200").select(F.lit("a").alias("series_key"), "time_period", "x")
+    out = arima.forecast(with_x, 30, [(1, 0, 0)], exog=["x"], future=future).orderBy("time_period").collect()
+    assert [r["yhat"] for r in out] == pytest.approx(list(3 * x[200:]), abs=1.0)
+    with pytest.raises(ValueError, match="go together"):
+        arima.forecast(with_x, 30, [(1, 0, 0)], exog=["x"])
+    short = arima.forecast(with_x, 30, [(1, 0, 0)], exog=["x"], future=future.limit(3)).collect()
+    assert len(short) == 30 and all(r["yhat"] is None for r in short)
+
+
+def test_default_orders_are_the_full_space():
+    assert len(arima.candidates()) == 1083
+
+
 def test_the_full_space():
     assert len(arima.candidates(arima.MAX_P, arima.MAX_D, arima.MAX_Q)) == 1083

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from visitgrain.forecast.series import KEY, VALUE, future_periods, series_arrays
 from visitgrain.operators.resample import PERIOD
@@ -31,14 +31,23 @@ _FIT = T.StructType(
         T.StructField("ar", T.ArrayType(T.DoubleType())),
         T.StructField("ma", T.ArrayType(T.DoubleType())),
         T.StructField("exog", T.ArrayType(T.DoubleType())),
-        T.StructField("forecast", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+_AHEAD = T.StructType(
+    [
+        T.StructField(KEY, T.StringType()),
+        T.StructField("p", T.IntegerType()),
+        T.StructField("d", T.IntegerType()),
+        T.StructField("q", T.IntegerType()),
+        T.StructField("ahead", T.ArrayType(T.DoubleType())),
         T.StructField("last_time", T.TimestampNTZType()),
     ]
 )
 
 
-def candidates(max_p: int = 3, max_d: int = 1, max_q: int = 2) -> list[Order]:
-    """Every order up to the given bounds; (18, 2, 18) spans the full space of 1,083."""
+def candidates(max_p: int = MAX_P, max_d: int = MAX_D, max_q: int = MAX_Q) -> list[Order]:
+    """Every order up to the given bounds; without any, the full space of 1,083."""
     return [
         (p, d, q) for p in range(max_p + 1) for d in range(max_d + 1) for q in range(max_q + 1)
     ]
@@ -60,7 +69,8 @@ def fit_one(y: np.ndarray, order: Order, reach: int, exog: np.ndarray | None = N
     """Coefficients and AIC of one order, or None when it cannot be fitted.
 
     ``reach`` is the longest lag among all candidates: every candidate of one ``d`` is scored on
-    the same observations, which is what makes their AIC comparable.
+    the same observations, which is what makes their AIC comparable. A series too short for that
+    many lags has no fit.
     """
     p, d, q = order
     beta = np.empty(0)
@@ -69,10 +79,10 @@ def fit_one(y: np.ndarray, order: Order, reach: int, exog: np.ndarray | None = N
         beta = _solve(design, y)[1:]
         y = y - exog @ beta
     w = np.diff(y, d)
-    long_ar = min(max(reach, 1) + 2, max(len(w) // 4, 1))
+    long_ar = max(reach, 1) + 2
     start = long_ar + reach
     constant = 1 if d == 0 else 0
-    if len(w) - start <= p + q + constant + 1:
+    if len(w) - start <= max(p + q + constant, long_ar) + 1:
         return None
     innovations = np.zeros_like(w)
     a = np.column_stack([np.ones(len(w) - long_ar), _lags(w, long_ar, long_ar)])
@@ -113,8 +123,26 @@ def forecast_one(model: dict, d: int, horizon: int) -> np.ndarray:
     return ahead
 
 
+def reach_of(orders: Sequence[Order]) -> int:
+    return max(max(p, q) for p, _, q in orders)
+
+
+def _spread(history: DataFrame, exog: Sequence[str]) -> DataFrame:
+    """One row per series: key, ``values_``, ``last_time`` and regressors ``x0``, ``x1``, …"""
+    return series_arrays(history, exog).select(
+        F.col(KEY).cast("string").alias("key"),
+        F.col(f"points.{VALUE}").alias("values_"),
+        F.element_at(f"points.{PERIOD}", -1).alias("last_time"),
+        *[F.col(f"points.{c}").alias(f"x{i}") for i, c in enumerate(exog)],
+    )
+
+
+def _regressors(row, n: int, prefix: str = "x") -> np.ndarray | None:
+    return np.column_stack([np.asarray(getattr(row, f"{prefix}{i}"), float) for i in range(n)]) if n else None
+
+
 def fit(
-    history: DataFrame, orders: Sequence[Order], horizon: int = 0, exog: Sequence[str] = (), chunk: int = 8
+    history: DataFrame, orders: Sequence[Order], exog: Sequence[str] = (), chunk: int = 8, reach: int | None = None
 ) -> DataFrame:
     """Every series fitted with every order: one row each, ``aic`` infinite where that failed.
 
@@ -122,60 +150,52 @@ def fit(
     the (series, chunk) pairs are spread over all tasks.
     """
     orders = list(orders)
-    reach = max(max(p, q) for p, _, q in orders)
+    reach = reach_of(orders) if reach is None else reach
     chunks = [orders[i : i + chunk] for i in range(0, len(orders), chunk)]
-    columns = list(exog)
+    n = len(exog)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                y = np.asarray(row.values_, dtype=float)
-                x = np.column_stack([np.asarray(getattr(row, f"x{i}"), float) for i in range(len(columns))]) if columns else None
+                y, x = np.asarray(row.values_, dtype=float), _regressors(row, n)
                 for order in chunks[row.chunk]:
                     model = fit_one(y, order, reach, x)
-                    ahead = forecast_one(model, order[1], horizon) if model else np.empty(0)
-                    if model is None or not np.all(np.isfinite(ahead)):
-                        out.append((row.key, *order, float("inf"), None, None, None, None, None, row.last_time))
-                        continue
-                    out.append(
-                        (row.key, *order, model["aic"], model["intercept"], model["ar"], model["ma"],
-                         model["exog"], ahead, row.last_time)
-                    )
+                    if model is None:
+                        out.append((row.key, *order, float("inf"), None, None, None, None))
+                    else:
+                        out.append((row.key, *order, *(model[k] for k in ("aic", "intercept", "ar", "ma", "exog"))))
             yield pd.DataFrame(out, columns=_FIT.names)
 
-    arrays = series_arrays(history, columns)
     tasks = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = arrays.select(
-        F.col(KEY).cast("string").alias("key"),
-        F.col(f"points.{VALUE}").alias("values_"),
-        F.element_at(f"points.{PERIOD}", -1).alias("last_time"),
-        *[F.col(f"points.{c}").alias(f"x{i}") for i, c in enumerate(columns)],
-        F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))).alias("chunk"),
-    ).repartition(tasks, "key", "chunk")
-    return spread.mapInPandas(run, _FIT)
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))).alias("chunk")
+    return _spread(history, exog).select("*", each).repartition(tasks, "key", "chunk").mapInPandas(run, _FIT)
 
 
-def _choose(fits: DataFrame, order_from: str | None) -> DataFrame:
-    """Per series the fit with the least AIC, ties to the smallest order.
+def _choose(
+    history: DataFrame, orders: Sequence[Order], order_from: str | None, exog: Sequence[str] = ()
+) -> DataFrame:
+    """(key, p, d, q, aic): per series the order with the least AIC, ties to the smallest order.
 
-    With ``order_from`` the order is the one that is best for that series (``"first"``: the
-    series with the smallest key) and is used for all.
+    With ``order_from`` only that series (``"first"``: the one with the smallest key) is searched,
+    and the others are fitted once, with the order found for it.
     """
-    score = F.col("aic")
-    if order_from is not None:
-        lead = F.min_by("aic", KEY) if order_from == "first" else F.min(F.when(F.col(KEY) == order_from, F.col("aic")))
-        score = lead.over(Window.partitionBy("p", "d", "q"))
-    scored = fits.withColumn("_score", score)
-    best = F.min_by(F.struct(*_FIT.names), F.struct("_score", "p", "d", "q"))
-    return scored.groupBy(KEY).agg(best.alias("b")).select("b.*")
+    best = F.min_by(F.struct("p", "d", "q", "aic"), F.struct("aic", "p", "d", "q")).alias("b")
+    if order_from is None:
+        return fit(history, orders, exog).groupBy(KEY).agg(best).select(KEY, "b.*")
+    lead = order_from
+    if order_from == "first":
+        lead = history.agg(F.min(F.col(KEY).cast("string"))).first()[0]
+    found = fit(history.filter(F.col(KEY).cast("string") == F.lit(lead)), orders, exog).agg(best).select("b.*").first()
+    order = (found.p, found.d, found.q) if found and found.p is not None else min(orders)
+    return fit(history, [order], exog, reach=reach_of(orders)).select(KEY, "p", "d", "q", "aic")
 
 
 def best_orders(
     history: DataFrame, orders: Sequence[Order] | None = None, order_from: str | None = None
 ) -> DataFrame:
     """(series_key, p, d, q, target) with target = -AIC."""
-    chosen = _choose(fit(history, orders or candidates()), order_from)
+    chosen = _choose(history, orders or candidates(), order_from)
     return chosen.select(KEY, "p", "d", "q", (-F.col("aic")).alias("target"))
 
 
@@ -185,13 +205,46 @@ def forecast(
     orders: Sequence[Order] | None = None,
     order_from: str | None = None,
     freq: str = "D",
+    exog: Sequence[str] = (),
+    future: DataFrame | None = None,
 ) -> DataFrame:
     """(series_key, time_period, yhat, p, d, q): ``horizon`` buckets after each last observation.
 
-    A series no candidate could be fitted to keeps its rows, with a null ``yhat``.
+    Orders are scored first; only the chosen one of each series is forecast. With regressors
+    (``exog``) their values over the horizon are needed: ``future`` has (series_key, time_period,
+    the regressors). A series that no candidate fits, or whose future regressors are missing, keeps
+    its rows with a null ``yhat``.
     """
-    chosen = _choose(fit(history, orders or candidates(), horizon), order_from)
-    ahead = F.coalesce("forecast", F.array_repeat(F.lit(None).cast("double"), horizon))
+    if bool(exog) != (future is not None):
+        raise ValueError("exog and future go together")
+    orders, exog = list(orders or candidates()), list(exog)
+    reach, n = reach_of(orders), len(exog)
+    rows = _spread(history, exog).join(_choose(history, orders, order_from, exog), F.col("key") == F.col(KEY)).drop(KEY)
+    if n:
+        points = F.array_sort(F.collect_list(F.struct(PERIOD, *exog))).alias("f")
+        later = future.na.drop(subset=[PERIOD, *exog]).groupBy(F.col(KEY).cast("string").alias("k")).agg(points)
+        rows = rows.join(later, F.col("key") == F.col("k"), "left").drop("k")
+        ahead_only = F.filter("f", lambda p: p[PERIOD] > F.col("last_time"))
+        rows = rows.withColumn("f", ahead_only)
+        rows = rows.withColumns({f"f{i}": F.col("f")[c] for i, c in enumerate(exog)}).drop("f")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                order, ahead = (row.p, row.d, row.q), None
+                model = fit_one(np.asarray(row.values_, dtype=float), order, reach, _regressors(row, n))
+                known = not n or (row.f0 is not None and len(row.f0) >= horizon)
+                if model is not None and known:
+                    made = forecast_one(model, row.d, horizon)
+                    if n:
+                        made = made + _regressors(row, n, "f")[:horizon] @ model["exog"]
+                    ahead = made if np.all(np.isfinite(made)) else None
+                out.append((row.key, *order, ahead, row.last_time))
+            yield pd.DataFrame(out, columns=_AHEAD.names)
+
+    chosen = rows.mapInPandas(run, _AHEAD)
+    ahead = F.coalesce("ahead", F.array_repeat(F.lit(None).cast("double"), horizon))
     dated = chosen.select(
         KEY, "p", "d", "q",
         F.explode(

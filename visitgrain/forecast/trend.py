@@ -110,10 +110,16 @@ _FITTED = T.StructType(
         T.StructField(KEY, T.StringType()),
         T.StructField(PERIOD, T.TimestampNTZType()),
         T.StructField("trend", T.DoubleType()),
+        T.StructField("weekly", T.DoubleType()),
         T.StructField("yhat", T.DoubleType()),
+        T.StructField("yhat_lower", T.DoubleType()),
+        T.StructField("yhat_upper", T.DoubleType()),
     ]
 )
 
+#: Standard deviations on either side that hold nine tenths of a normal distribution.
+_NINE_TENTHS = 1.6448536269514722
+
 
 def _features(days: np.ndarray, first: float, last: float, knots: int, yearly: int, weekly: int):
     t = (days - first) / max(last - first, 1.0)
@@ -135,7 +141,6 @@ def _ridge_predict(times: np.ndarray, y: np.ndarray, horizon: int, knots: int, y
     days = (times.astype("datetime64[D]") - origin).astype(float)
     ahead = days[-1] + np.arange(1, horizon + 1)
     every = np.concatenate([days, ahead])
-    yearly = yearly if days[-1] - days[0] >= 730 else 0
     trend, waves = _features(every, days[0], days[-1], knots, yearly, weekly)
     x = np.hstack([trend, waves])
     n, scale = len(days), max(float(np.abs(y).max()), 1e-12)
@@ -144,24 +149,31 @@ def _ridge_predict(times: np.ndarray, y: np.ndarray, horizon: int, knots: int, y
     penalty[trend.shape[1]:] = 0.01
     a = x[:n]
     beta = np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ (y / scale)) * scale
-    line = trend @ beta[: trend.shape[1]]
-    stamps = origin + every.astype("timedelta64[D]")
-    return stamps.astype("datetime64[ns]"), line, x @ beta
+    split = trend.shape[1]
+    line, week = trend @ beta[:split], waves[:, 2 * yearly :] @ beta[split + 2 * yearly :]
+    stamps, yhat = origin + every.astype("timedelta64[D]"), x @ beta
+    spread = _NINE_TENTHS * float(np.sqrt(np.mean((y - yhat[:n]) ** 2)))
+    return stamps.astype("datetime64[ns]"), line, week, yhat, yhat - spread, yhat + spread
 
 
 def fourier_predict(
-    history: DataFrame, horizon: int, knots: int = 25, yearly: int = 10, weekly: int = 3
+    history: DataFrame, horizon: int, knots: int = 25, yearly: int = 0, weekly: int = 3
 ) -> DataFrame:
-    """(series_key, time_period, trend, yhat) over history and future, one small solve per series."""
+    """One small solve per series: (series_key, time_period, trend, weekly, yhat, yhat_lower, yhat_upper)
+    over history and future.
+
+    ``yearly`` is the number of yearly waves; it is for the caller to ask for them, with a history
+    of two years or more. The bounds hold nine of ten residuals of the fit if they are normal.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, times, values in zip(batch[KEY], batch["times"], batch["values"]):
-                stamps, line, yhat = _ridge_predict(
+                made = _ridge_predict(
                     np.asarray(times, dtype="datetime64[ns]"), np.asarray(values, dtype=float),
                     horizon, knots, yearly, weekly,
                 )
-                yield pd.DataFrame({KEY: key, PERIOD: stamps, "trend": line, "yhat": yhat})
+                yield pd.DataFrame({KEY: key, **dict(zip(_FITTED.names[1:], made))})
 
     arrays = series_arrays(history).select(
         F.col(KEY).cast("string").alias(KEY),
