@@ -205,3 +205,13 @@ def test_lazy_view_answers_alike(spark, sf_dir, visits):
         lambda v: patients.by_gender(v, year=2000, district="NATION_3"),
     ):
         assert rows(plan(lazy)) == rows(plan(visits))
+
+
+def test_combined_labels_never_collide(frame):
+    from visitgrain.operators import reshape
+
+    df = frame([("k", "a|b", "c"), ("k", "a", "b|c"), ("k", "a\\", "b"), ("k", "a", "b")], "k string, x string, y string")
+    wide = reshape.unstack_count(df, ["k"], ["x", "y"])
+    assert set(wide.columns) == {"k", "a\\|b|c", "a|b\\|c", "a\\\\|b", "a|b"}
+    assert all(wide.first()[c] == 1 for c in wide.columns[1:])
+    assert {(r.x, r.n) for r in reshape.long_count(df, ["k"], "x").collect()} == {("a|b", 1), ("a", 2), ("a\\", 1)}

@@ -68,14 +68,16 @@ def blank_label(
 
 
 def dedupe_by_key(
-    df: DataFrame, key: str = VISIT_KEY, order: Sequence[str] = (EVENT_TIME,)
+    df: DataFrame, key: str = VISIT_KEY, order: Sequence[str] = (EVENT_TIME,), hot_keys: bool = False
 ) -> DataFrame:
     """One row per key: the least by ``order``, then by the remaining columns.
 
-    The survivor does not depend on partitioning. The minimum combines on the map side, so a key
-    repeated very often is reduced before the shuffle.
+    The survivor does not depend on partitioning. Keys are nearly unique as a rule, so rows are
+    dealt by key first and sorted once. With ``hot_keys`` the minimum is taken before the shuffle
+    too: that sorts every row twice, but a key repeated very often is reduced where it lies.
     """
     rest = [c for c in df.columns if c != key and c not in order]
+    df = df if hot_keys else df.repartition(F.col(key))
     kept = df.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_row"))
     return kept.select(*[key if c == key else F.col("_row")[c].alias(c) for c in df.columns])
 

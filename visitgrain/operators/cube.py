@@ -30,9 +30,7 @@ def default_label(freq: str) -> str:
 
 def _category(cats: Sequence[str]) -> Column:
     """One label for a combination of categories; null if any is null."""
-    return F.col(cats[0]) if len(cats) == 1 else F.when(
-        all_of([F.col(c).isNotNull() for c in cats]), F.concat_ws("|", *cats)
-    )
+    return F.col(cats[0]) if len(cats) == 1 else reshape.combined_label(cats)
 
 
 def _counts(rows: DataFrame, ts: str, freq: str, agg: str, labels: Sequence[str]) -> DataFrame:

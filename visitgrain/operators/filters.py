@@ -154,9 +154,11 @@ def time_filter(
     anchor: DataFrame | None = None,
 ) -> DataFrame:
     """First match wins: year (and month), relative range, explicit range, no filter."""
+    if relative is not None and relative not in RELATIVE_RANGES:
+        raise ValueError(f"relative must be one of {sorted(RELATIVE_RANGES)}, not {relative!r}")
     if year is not None:
         return in_year(df, ts, year, month)
-    if relative in RELATIVE_RANGES:
+    if relative is not None:
         return last(df, ts, RELATIVE_RANGES[relative], anchor)
     if start is not None and end is not None:
         return between(df, ts, start, end)

@@ -25,31 +25,24 @@ def densify(
 ) -> DataFrame:
     """Add the empty buckets between the first and last one of each key.
 
-    ``series`` is aggregated already: one row per key and bucket. Each observed bucket is
-    stretched over the gap up to the next one, so the source is scanned once and nothing is
-    joined. A key's array holds one cell per calendar bucket, whatever the number of rows.
+    ``series`` is aggregated already: one row per key and bucket. The spine comes from each key's
+    first and last bucket, and the series is joined to it, so no task holds a whole series.
     """
-    cells = F.array_sort(F.collect_list(F.struct(F.col(period), *[F.col(f"`{m}`") for m in measures])))
-    arrays = series.filter(F.col(period).isNotNull()).groupBy(*keys).agg(cells.alias("_s"))
-
-    def stretch(cell, i):
-        following = F.get("_s", i + 1)[period]
-        until = F.coalesce((following - step(freq)).cast("timestamp_ntz"), cell[period])
-        return F.struct(cell.alias("cell"), F.sequence(cell[period], until, step(freq)).alias("run"))
-
-    runs = arrays.select(*keys, F.inline(F.transform("_s", stretch)))
-    filled = runs.select(*keys, "cell", F.explode("run").alias(period))
+    known = series.filter(F.col(period).isNotNull())
+    ends = known.groupBy(*keys).agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
+    # Without keys an empty series still gives one row of nulls, which has no buckets.
+    spine = ends.filter(F.col("_first").isNotNull()).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.explode(F.sequence("_first", "_last", step(freq))).alias("_at"),
+    )
+    match = F.col("_at") == F.col(period)
+    for i, k in enumerate(keys):
+        match = match & F.col(f"_k{i}").eqNullSafe(F.col(k))
     zero = F.lit(fill)
-    return filled.select(
-        *keys,
-        period,
-        *[
-            F.when(F.col(period) == F.col("cell")[period], F.coalesce(F.col("cell")[m], zero))
-            .otherwise(zero)
-            .cast(series.schema[m].dataType)
-            .alias(m)
-            for m in measures
-        ],
+    return spine.join(known, match, "left").select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)],
+        F.col("_at").alias(period),
+        *[F.coalesce(F.col(f"`{m}`"), zero).cast(series.schema[m].dataType).alias(m) for m in measures],
     )
 
 

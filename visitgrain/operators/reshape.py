@@ -8,20 +8,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from visitgrain.operators.resample import PERIOD
 
-MAX_PIVOT_COLUMNS = 10_000
-
 
 def categories(df: DataFrame, cat: str) -> list[str]:
     """Sorted non-null labels of a pivot column.
 
-    These become column names, so they have to be known before planning; more than
-    ``MAX_PIVOT_COLUMNS`` of them is an error.
+    These become column names, so they have to be known before planning: one pass over the column.
+    Callers that know the labels give them instead; for labels without end there is ``long_count``.
+    """
+    return sorted(row[0] for row in df.filter(F.col(cat).isNotNull()).select(cat).distinct().collect())
+
+
+def long_count(df: DataFrame, keys: Sequence[str | Column], cat: str, out: str = "n") -> DataFrame:
+    """Rows per key and category as rows: what a pivot says, for any number of labels."""
+    return df.filter(F.col(cat).isNotNull()).groupBy(*keys, cat).agg(F.count(F.lit(1)).alias(out))
+
+
+def combined_label(cats: Sequence[str], sep: str = "|") -> Column:
+    """One label for several categories, null if any is null.
+
+    A separator or backslash inside a label is written with a backslash before it, so different
+    combinations never share a label.
     """
-    found = df.filter(F.col(cat).isNotNull()).select(cat).distinct().limit(MAX_PIVOT_COLUMNS + 1)
-    labels = sorted(row[0] for row in found.collect())
-    if len(labels) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"{cat} has more than {MAX_PIVOT_COLUMNS} labels, too many to pivot")
-    return labels
+    parts = [F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit(sep), F.lit("\\" + sep)) for c in cats]
+    return F.concat(*[x for p in parts for x in (F.lit(sep), p)][1:])
 
 
 def _finish(wide: DataFrame, keys: Sequence[str | Column], fill: bool) -> DataFrame:
@@ -109,7 +118,7 @@ def unstack_count(
     sep: str = "|",
 ) -> DataFrame:
     """Counts with one column per combination of several categories, 0 where absent."""
-    joined = df.na.drop(subset=list(cats)).withColumn("_cats", F.concat_ws(sep, *cats))
+    joined = df.na.drop(subset=list(cats)).withColumn("_cats", combined_label(cats, sep))
     values = categories(joined, "_cats") if values is None else list(values)
     return _finish(joined.groupBy(*keys).pivot("_cats", values).agg(F.count(F.lit(1))), keys, True)
 
