@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names and types of the visits columns.
 VISIT_SCHEMA = T.StructType(
     [
         T.StructField("id_registrasi", T.LongType()),
@@ -71,7 +72,7 @@ DISTRICT_ALIASES = {
 REFERRAL_ALIASES = {"Dalam": "Dalam RS", "Luar": "Luar RS"}
 GENDER_ALIASES = {"perempuan": "Perempuan", "laki-laki": "Laki-laki"}
 
-# Preset cubes: keyword arguments for operators.cube.cube().
+# Preset cubes, as keyword arguments for operators.cube.cube().
 PRESET_CUBES = {
     "demografi": {"cats": ["kabupaten"], "measures": [], "where": {"provinsi": HOME_PROVINCE}},
     "jenisregis": {"cats": ["jenis_registrasi"], "measures": []},
