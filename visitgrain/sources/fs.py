@@ -31,6 +31,12 @@ def finished(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().getParent().toString() for s in fs.globStatus(jpath) or [])
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote."""
+    jpath, fs = hadoop_path(spark, path)
+    fs.delete(jpath, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
     return f"{require_shared_dir(spark)}/visitgrain-{name}-{uuid.uuid4().hex[:12]}"

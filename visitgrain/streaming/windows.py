@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from visitgrain.sources.fs import finished
+from visitgrain.sources.fs import delete, finished
 from visitgrain.streaming.landing import start
 
 WINDOW = "time_period"
@@ -36,7 +36,7 @@ def upsert(changed: DataFrame, batch_id: int, target: str, keys: Sequence[str])
     """Replace the changed keys in the aggregate and write the result as a new version.
 
     The aggregate has one row per window and key, so rewriting it is cheap; versions of later
-    batches are ignored, which makes a replay harmless.
+    batches are ignored, which makes a replay harmless. The newest two versions are kept.
     """
     spark = changed.sparkSession
     if changed.isEmpty():
@@ -47,6 +47,9 @@ def upsert(changed: DataFrame, batch_id: int, target: str, keys: Sequence[str])
         old = spark.read.schema(changed.schema).parquet(before[-1])
         rows = old.join(changed.select(*keys), list(keys), "left_anti").select(*changed.columns).unionByName(changed)
     rows.write.mode("overwrite").parquet(_version(target, batch_id))
+    # Readers hold the newest version or the one before; a replay of this batch reads the latter.
+    for old in before[:-1]:
+        delete(spark, old)
 
 
 def upsert_live(
