@@ -154,21 +154,62 @@ def _s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Create, probe, append twice, probe, read by path, drop the name."""
-    path = new_folder(spark, "table")
-    name = "visits_" + path.rsplit("-", 1)[1]
+def _table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """An unused path and table name."""
+    path = new_folder(spark, name)
+    return path, "visits_" + path.rsplit("-", 1)[1]
+
+
+def _s6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to one table."""
+    path, name = _table(spark, "append-table")
     v = visits(spark, sf_dir).select(*COLUMNS)
     tables.create_table(spark, name, path=path)
-    before = tables.has_rows(spark, name)
     tables.append_table(v.filter("id_registrasi % 2 = 0"), name)
     tables.append_table(v.filter("id_registrasi % 2 = 1"), name)
-    after = tables.has_rows(spark, name)
-    tables.drop_table(spark, name)
-    dropped = not spark.catalog.tableExists(name)
-    probes = {"had_rows_before": before, "has_rows_after": after, "dropped": dropped}
     out = _digest(tables.read_parquet(spark, path, VISIT_SCHEMA))
-    return out.withColumns({k: F.lit(int(b)).cast("long") for k, b in probes.items()})
+    tables.drop_table(spark, name)
+    return out
+
+
+def _s7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared columns take the visits: smallest and largest key, and non-null values of each kind."""
+    path, name = _table(spark, "create-table")
+    tables.create_table(spark, name, by=["jenis_registrasi"], path=path)
+    declared = [f.name for f in spark.table(name).schema.fields]
+    assert sorted(declared) == sorted(COLUMNS) and spark.table(name).isEmpty()
+    visits(spark, sf_dir).select(*declared).write.insertInto(name)
+    tables.drop_table(spark, name)  # the files of its own path stay
+    return tables.read_parquet(spark, path, VISIT_SCHEMA).groupBy("jenis_registrasi").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id_registrasi").alias("least"), F.max("id_registrasi").alias("most"),
+        F.count("diagnosa_primer").alias("diagnosed"))
+
+
+def _s8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dropped table is gone from the catalog; dropping it again is no error, and files of its own path stay."""
+    path, name = _table(spark, "drop-table")
+    tables.create_table(spark, name, path=path)
+    tables.append_table(visits(spark, sf_dir).select(*COLUMNS), name)
+    before = spark.catalog.tableExists(name)
+    tables.drop_table(spark, name)
+    tables.drop_table(spark, name)
+    after = spark.catalog.tableExists(name)
+    kept = tables.read_parquet(spark, path, VISIT_SCHEMA).agg(F.count(F.lit(1)).alias("kept"))
+    return kept.withColumns({k: F.lit(int(x)).cast("long") for k, x in (("there", before), ("dropped", not after))})
+
+
+def _s9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probe on a table that is absent, empty, and filled."""
+    path, name = _table(spark, "probe-table")
+    absent = tables.has_rows(spark, name)
+    tables.create_table(spark, name, path=path)
+    empty = tables.has_rows(spark, name)
+    v = visits(spark, sf_dir).select(*COLUMNS)
+    tables.append_table(v, name)
+    filled = tables.has_rows(spark, name)
+    tables.drop_table(spark, name)
+    found = {"absent": absent, "empty": empty, "filled": filled}
+    return v.agg(F.count(F.lit(1)).alias("n")).withColumns({k: F.lit(int(x)).cast("long") for k, x in found.items()})
 
 
 def _s11(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,9 +257,13 @@ def register_sources() -> None:
     add("S-4", _s4, in_2000)
     add("S-5", _s5, f"""WITH {VISITS_CTE} SELECT jenis_penjamin, count(*) AS n, round(sum(total_tagihan), 2) AS total
         FROM visits WHERE kabupaten = 'NATION_3' AND waktu_registrasi >= TIMESTAMP '1998-01-01' GROUP BY 1""")
-    probes = "SELECT *, CAST(0 AS BIGINT) AS had_rows_before, CAST(1 AS BIGINT) AS has_rows_after, CAST(1 AS BIGINT) AS dropped FROM"
-    for key in ("S-6", "S-7", "S-8", "S-9"):
-        add(key, _catalog_table, f"WITH {VISITS_CTE} {probes} ({_digest_sql('visits')})")
+    add("S-6", _s6, f"WITH {VISITS_CTE} {_digest_sql('visits')}")
+    add("S-7", _s7, f"""WITH {VISITS_CTE} SELECT jenis_registrasi, count(*) AS n, min(id_registrasi) AS least,
+        max(id_registrasi) AS most, count(diagnosa_primer) AS diagnosed FROM visits GROUP BY 1""")
+    add("S-8", _s8, f"""WITH {VISITS_CTE} SELECT count(*) AS kept, CAST(1 AS BIGINT) AS there, CAST(1 AS BIGINT) AS dropped
+        FROM visits""")
+    add("S-9", _s9, f"""WITH {VISITS_CTE} SELECT count(*) AS n, CAST(0 AS BIGINT) AS absent, CAST(0 AS BIGINT) AS empty,
+        CAST(1 AS BIGINT) AS filled FROM visits""")
     add("S-10", lambda s, d: _digest(clean.convert_types(files.read_json(s, json_path(s, d)))), typed)
     add("S-10_lines", lambda s, d: _digest(clean.convert_types(
         files.read_json(s, f"{json_files_path(s, d)}/*", multi_line=True))), typed)
