@@ -187,18 +187,20 @@ def components(pairs: DataFrame, spark: SparkSession) -> DataFrame:
 
     Each round joins every node to the smallest in its neighbourhood: large-star for greater
     neighbours, small-star for the others. Rounds end when no edge changes; their number grows
-    with the logarithm of the longest path. A node of very many neighbours is a star already and
-    is met as the key of a minimum, which is combined before the shuffle.
+    with the logarithm of the longest path. A node of very many neighbours is met as the key of a
+    minimum, which is combined before the shuffle, and of a join of two written tables, which
+    adaptive execution splits where a key is hot.
     """
     edges = settle(pairs.select("a", "b").where("a != b").distinct(), spark, "edges")
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = settle(least, spark, "least")
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
         large = settle(large, spark, "edges")
         down = large.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-        lowest = down.groupBy("x").agg(F.min("y").alias("m"))
+        lowest = settle(down.groupBy("x").agg(F.min("y").alias("m")), spark, "least")
         small = (
             down.join(lowest, "x")
             .select(F.col("m").alias("a"), F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"))
