@@ -55,7 +55,7 @@ def distinct(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Offsets of the lists, each piece's number, and the distinct pieces."""
     offsets = lists.offsets.to_numpy()
     coded = pc.dictionary_encode(lists.flatten())
-    return offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def together(texts: list[str], most: int = TOGETHER) -> Iterator[list[str]]:
