@@ -6,8 +6,8 @@ resembles makes it smaller. The normalised difference of the two sizes, over the
 its worst window, together with the compressed size per byte, becomes a score by logistic
 calibration on other labelled rows.
 
-What is learned comes from a bounded sample: of each class at most ``rows`` labelled documents for
-the dictionary and as many for the calibration, chosen by a hash of the id, and at most
+What is learned comes from a bounded sample: of each class about ``rows`` labelled documents for
+the dictionary and as many for the calibration, those with the id's hash under a share, and at most
 ``WINDOWS`` windows of each document, spread over its whole text. Calibration weights undo the
 sampling, so a score is a probability in the labelled rows' own proportions. Scoring covers every
 byte of every text.
@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from visitgrain.llm.common import pick, scan, texts_of, type_of
 
@@ -37,6 +37,7 @@ LEVEL = 3
 WINDOWS = 8
 #: Windows shorter than this say little alone; they count in the whole, not as the worst window.
 LEAST = 200
+MILLION = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -126,15 +127,18 @@ def fit(
         .agg(F.min(label_col).alias("y"), F.max(label_col).alias("other"))
         .where("y = other")
         .select(F.col(id_col).alias("id"), "y", F.xxhash64(id_col).alias("h"))
-        .withColumn("part", F.pmod("h", F.lit(2)))
+        .select("id", "y", F.pmod("h", F.lit(2)).alias("part"), F.pmod(F.shiftright("h", 1), F.lit(MILLION)).alias("place"))
     )
-    order = Window.partitionBy("y", "part").orderBy("h", "id")
     counts = {(r.y, r.part): r.n for r in known.groupBy("y", "part").agg(F.count("*").alias("n")).collect()}
     n = [sum(c for (y, _), c in counts.items() if y == v) for v in (0, 1)]
     if not all(n):
         return QualityModel(prior=(n[1] + 1) / (sum(n) + 2))
-    # At most four times ``rows`` ids.
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("id", "y", "part")
+    # About ``rows`` ids of each class and part: those whose hash falls under their share.
+    under = F.lit(False)
+    for (y, part), count in counts.items():
+        share = min(MILLION, -(-rows * MILLION // count))
+        under = under | ((F.col("y") == y) & (F.col("part") == part) & (F.col("place") < share))
+    chosen = known.where(under).select("id", "y", "part")
     texts = (
         pick(docs, id_col, text_col)
         .join(F.broadcast(chosen), F.col(id_col) == F.col("id"))
