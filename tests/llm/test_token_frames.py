@@ -47,11 +47,19 @@ def test_round_trip(spark, documents, folder, odd_texts, library):
     # A plain decoder reads the frames as one stream and skips the table.
     for name in glob.glob(f"{where}/*.zst"):
         held = token_frames.FrameFile(name)
-        whole = b"".join(held.document(p).tobytes() for p in range(len(held)))
+        assert held.width == 2
+        whole = b"".join(held.document(p).astype("<u2").tobytes() for p in range(len(held)))
         with open(name, "rb") as f:
             assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == whole
 
 
+def test_wide_ids(spark, documents, folder, library):
+    manifest = token_frames.write_frames(documents(["some words"]), spark, folder("w"), PATH, end_id=70_000)
+    assert token_frames.FrameFile(manifest.first().file).width == 4
+    ids = np.frombuffer(bytes(token_frames.read_frames(manifest).first().ids), "<u4").tolist()
+    assert ids == [*want_ids(library, "some words")[:-1], 70_000]
+
+
 def test_damage_is_noticed(spark, documents, folder):
     manifest = token_frames.write_frames(documents(["some text to be kept"]), spark, folder("t"), PATH)
     name = manifest.first().file

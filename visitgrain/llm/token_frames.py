@@ -1,8 +1,9 @@
 """Token files: independent zstandard frames, a trailing seek table, a checksum for each frame.
 
 A file holds one frame per document, in ascending order of the id, each the document's token ids as
-little-endian unsigned 32-bit integers. Two skippable frames follow: an index of the documents
-(id, whether it is null), and the public seek table (compressed size, content size, and the low
+little-endian unsigned integers of 16 bits, or of 32 where the vocabulary has more than 65,536 ids.
+Two skippable frames follow: an index (bytes of an integer, then the documents' ids and whether they
+are null), and the public seek table (compressed size, content size, and the low
 32 bits of the content's XXH64 for each frame, then the number of frames, a descriptor and the
 magic number). A reader seeks to the end, reads the table, and decompresses only the frames asked
 for, checking each; a plain zstandard decoder reads the same file as one stream.
@@ -73,6 +74,8 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.width = 2 if largest < 1 << 16 else 4
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.table = PieceTable(self._make)
 
@@ -155,7 +158,8 @@ class FrameFile:
         self.starts = np.concatenate(([0], table[:, 0].astype(np.int64).cumsum()))
         self.sizes, self.checksums = table[:, 1], table[:, 2]
         index_at = int(self.starts[-1])
-        raw = self.file.read_at(9 * count, index_at + 8)
+        self.width = self.file.read_at(1, index_at + 8)[0]
+        raw = self.file.read_at(9 * count, index_at + 9)
         nulls = np.frombuffer(raw[8 * count :], np.uint8)
         self.ids = [None if n else i for i, n in zip(np.frombuffer(raw[: 8 * count], "<i8").tolist(), nulls)]
         self.inflate = zstandard.ZstdDecompressor()
@@ -170,7 +174,7 @@ class FrameFile:
         raw = self.inflate.decompress(frame, max_output_size=max(size, 1))
         if len(raw) != size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.checksums[place]:
             raise ValueError(f"checksum of frame {place}")
-        return np.frombuffer(raw, "<u4")
+        return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
     def close(self) -> None:
         self.file.close()
@@ -192,14 +196,19 @@ def write_frames(
     ``first_token``, the number of tokens in all files before. ``path`` is the vocabulary file,
     installed at the same place on every executor.
     """
+    width = encoder(path).width if end_id < 1 << 16 else 4
     end = np.array([end_id], "<u4").tobytes()
 
     def encode():
         coder = encoder(path)
+
+        def narrow(raw: bytes) -> bytes:
+            return raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()
+
         deflate = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
 
         def work(ids, texts):
-            made = [m + end for m in coder.encode(texts_of(texts))]
+            made = [narrow(m + end) for m in coder.encode(texts_of(texts))]
             return {
                 "id": ids.cast(pa.int64()),
                 "frame": ([deflate.compress(m) for m in made], pa.binary()),
@@ -240,10 +249,10 @@ def write_frames(
                 out.write(frame)
                 entries.append((len(frame), size, checksum))
                 ids.append(i)
-                tokens += size // 4
+                tokens += size // width
         if out is None:
             return
-        index = np.array([i or 0 for i in ids], "<i8").tobytes() + bytes(i is None for i in ids)
+        index = bytes([width]) + np.array([i or 0 for i in ids], "<i8").tobytes() + bytes(i is None for i in ids)
         out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index + seek_table(entries))
         out.close()
         yield pa.RecordBatch.from_arrays(
