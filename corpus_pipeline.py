@@ -10,12 +10,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitgrain.llm import bpe, decontaminate, pii, quality, queries, simhash
+from visitgrain.llm import bpe, decontaminate, pii, quality, queries, similar
 from visitgrain.llm.common import pick, read_table, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Fingerprints that differ in so many bits of 64 are candidates; their texts' sets of five-word
-#: shingles must then have a Jaccard similarity of 0.8 or more.
+#: Fingerprints that differ in so many bits of 64 are candidates, beside those of the bands; sets of
+#: five-word shingles must then have a Jaccard similarity of 0.8 or more.
 RADIUS = 5
 
 
@@ -26,8 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    similar = simhash.shingle_similarity(docs, spark, width=5, least=0.8)
-    return simhash.keep_one(docs, spark, COLUMNS, radius=RADIUS, accept=similar)
+    return similar.keep_one(docs, spark, COLUMNS, least=0.8, width=5, radius=RADIUS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
