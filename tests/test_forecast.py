@@ -164,3 +164,24 @@ def test_default_orders_are_the_full_space():
 
 def test_the_full_space():
     assert len(arima.candidates(arima.MAX_P, arima.MAX_D, arima.MAX_Q)) == 1083
+
+
+def test_short_series_keep_the_orders_they_support(history):
+    df = history(a=ar(0.7, 40, 11), b=ar(0.5, 12, 12), c=ar(0.7, 200, 13))
+    best = {r["series_key"]: r for r in arima.best_orders(df).collect()}
+    assert all(np.isfinite(best[k]["target"]) for k in "abc")
+    out = arima.forecast(df, 3).collect()
+    assert len(out) == 9 and all(r["yhat"] is not None for r in out)
+    long, short = arima.reach_for(200, arima.candidates()), arima.reach_for(40, arima.candidates())
+    assert (long, short) == (18, 10)
+    y = ar(0.7, 40, 11)
+    assert arima.fit_one(y, (short + 1, 0, 0), short) is None
+    starts = {arima.fit_one(y, order, short)["start"] for order in [(0, 0, 0), (0, 1, 0), (0, 2, 0)]}
+    assert len(starts) == 1
+
+
+def test_a_lead_that_nothing_fits_shares_no_order(history):
+    df = history(a=[1.0, 2.0, 3.0], b=ar(0.7, 300, 14), c=ar(-0.6, 300, 15))
+    shared = {r["series_key"]: tuple(r)[1:] for r in arima.best_orders(df, order_from="first").collect()}
+    own = {r["series_key"]: tuple(r)[1:] for r in arima.best_orders(df).collect()}
+    assert shared == own and shared["b"][:3] != (0, 0, 0)

@@ -68,11 +68,13 @@ def _stationary(ar: np.ndarray) -> bool:
 def fit_one(y: np.ndarray, order: Order, reach: int, exog: np.ndarray | None = None) -> dict | None:
     """Coefficients and AIC of one order, or None when it cannot be fitted.
 
-    ``reach`` is the longest lag among all candidates: every candidate of one ``d`` is scored on
-    the same observations, which is what makes their AIC comparable. A series too short for that
-    many lags has no fit.
+    ``reach`` is the longest lag that the series' candidates may have (``reach_for``): every
+    candidate of one ``d`` is scored on the same observations, which is what makes their AIC
+    comparable. An order of longer lags has no fit, nor one that those observations are too few for.
     """
     p, d, q = order
+    if max(p, q) > reach:
+        return None
     beta = np.empty(0)
     if exog is not None and exog.size:
         design = np.column_stack([np.ones(len(y)), exog])
@@ -127,6 +129,14 @@ def reach_of(orders: Sequence[Order]) -> int:
     return max(max(p, q) for p, _, q in orders)
 
 
+def reach_for(n: int, orders: Sequence[Order]) -> int:
+    """The longest lag that ``n`` observations support, ``reach_of`` at most: with it the smallest
+    candidate of every ``d`` can still be fitted. 0 where there is no such lag."""
+    most = max(d for _, d, _ in orders)
+    fits = (r for r in range(reach_of(orders), 0, -1) if n - most - (r + 2) - r > r + 3)
+    return next(fits, 0)
+
+
 def _spread(history: DataFrame, exog: Sequence[str]) -> DataFrame:
     """One row per series: key, ``values_``, ``last_time`` and regressors ``x0``, ``x1``, …"""
     return series_arrays(history, exog).select(
@@ -142,15 +152,23 @@ def _regressors(row, n: int, prefix: str = "x") -> np.ndarray | None:
 
 
 def fit(
-    history: DataFrame, orders: Sequence[Order], exog: Sequence[str] = (), chunk: int = 8, reach: int | None = None
+    history: DataFrame,
+    orders: Sequence[Order],
+    exog: Sequence[str] = (),
+    chunk: int = 8,
+    among: Sequence[Order] | None = None,
 ) -> DataFrame:
     """Every series fitted with every order: one row each, ``aic`` infinite where that failed.
 
+    A series' orders are scored on one window, as long as its own length allows. With ``among``,
+    the candidates that ``orders`` were chosen from, the window is theirs, or that of the order's own lags
+    where these are longer.
+
     A series is short (one value per bucket), so its array is repeated per chunk of orders and
     the (series, chunk) pairs are spread over all tasks.
     """
     orders = list(orders)
-    reach = reach_of(orders) if reach is None else reach
+    scored = orders if among is None else list(among)
     chunks = [orders[i : i + chunk] for i in range(0, len(orders), chunk)]
     n = len(exog)
 
@@ -159,8 +177,9 @@ def fit(
             out = []
             for row in batch.itertuples(index=False):
                 y, x = np.asarray(row.values_, dtype=float), _regressors(row, n)
+                reach = reach_for(len(y), scored)
                 for order in chunks[row.chunk]:
-                    model = fit_one(y, order, reach, x)
+                    model = fit_one(y, order, reach if among is None else max(reach, order[0], order[2]), x)
                     if model is None:
                         out.append((row.key, *order, float("inf"), None, None, None, None))
                     else:
@@ -178,17 +197,23 @@ def _choose(
     """(key, p, d, q, aic): per series the order with the least AIC, ties to the smallest order.
 
     With ``order_from`` only that series (``"first"``: the one with the smallest key) is searched,
-    and the others are fitted once, with the order found for it.
+    and the others are fitted once, with the order found for it. Where no candidate fits it, there
+    is no order to share, and every series is searched on its own.
     """
     best = F.min_by(F.struct("p", "d", "q", "aic"), F.struct("aic", "p", "d", "q")).alias("b")
-    if order_from is None:
+
+    def own() -> DataFrame:
         return fit(history, orders, exog).groupBy(KEY).agg(best).select(KEY, "b.*")
+
+    if order_from is None:
+        return own()
     lead = order_from
     if order_from == "first":
         lead = history.agg(F.min(F.col(KEY).cast("string"))).first()[0]
     found = fit(history.filter(F.col(KEY).cast("string") == F.lit(lead)), orders, exog).agg(best).select("b.*").first()
-    order = (found.p, found.d, found.q) if found and found.p is not None else min(orders)
-    return fit(history, [order], exog, reach=reach_of(orders)).select(KEY, "p", "d", "q", "aic")
+    if found is None or found.aic is None or not np.isfinite(found.aic):
+        return own()
+    return fit(history, [(found.p, found.d, found.q)], exog, among=orders).select(KEY, "p", "d", "q", "aic")
 
 
 def best_orders(
@@ -218,7 +243,7 @@ def forecast(
     if bool(exog) != (future is not None):
         raise ValueError("exog and future go together")
     orders, exog = list(orders or candidates()), list(exog)
-    reach, n = reach_of(orders), len(exog)
+    n = len(exog)
     rows = _spread(history, exog).join(_choose(history, orders, order_from, exog), F.col("key") == F.col(KEY)).drop(KEY)
     if n:
         points = F.array_sort(F.collect_list(F.struct(PERIOD, *exog))).alias("f")
@@ -233,6 +258,7 @@ def forecast(
             out = []
             for row in batch.itertuples(index=False):
                 order, ahead = (row.p, row.d, row.q), None
+                reach = max(reach_for(len(row.values_), orders), row.p, row.q)
                 model = fit_one(np.asarray(row.values_, dtype=float), order, reach, _regressors(row, n))
                 known = not n or (row.f0 is not None and len(row.f0) >= horizon)
                 if model is not None and known:
