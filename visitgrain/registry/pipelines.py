@@ -266,7 +266,7 @@ def register_sources() -> None:
         CAST(1 AS BIGINT) AS filled FROM visits""")
     add("S-10", lambda s, d: _digest(clean.convert_types(files.read_json(s, json_path(s, d)))), typed)
     add("S-10_lines", lambda s, d: _digest(clean.convert_types(
-        files.read_json(s, f"{json_files_path(s, d)}/*", multi_line=True))), typed)
+        files.read_json(s, json_files_path(s, d), multi_line=True))), typed)
     cleaned = _raw_oracle(_digest_sql("cleaned"))
     add("S-12_again", _s12_again, cleaned)
     add("S-11", _s11, cleaned)

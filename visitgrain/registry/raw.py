@@ -49,24 +49,28 @@ def _write_csv(df: DataFrame, path: str, compression: str) -> None:
     df.write.option("header", True).option("compression", compression).csv(path)
 
 
+def _blocks(size: int) -> list:
+    """Grouping columns that deal rows numbered in ``_id`` into blocks of at most ``size``."""
+    # The id counts rows inside a partition, so a group never exceeds ``size`` records.
+    return [F.spark_partition_id().alias("_part"), (F.col("_id") / size).cast("long").alias("_block")]
+
+
 def _write_json_arrays(df: DataFrame, path: str, size: int = 500) -> None:
     """Lines of JSON arrays of at most ``size`` records, as the polled source sends them."""
     numbered = df.withColumn("_id", F.monotonically_increasing_id())
-    # The id counts rows inside a partition, so a group never exceeds ``size`` records.
-    block = (F.col("_id") / size).cast("long").alias("_block")
     record = F.struct(*df.columns)
-    arrays = numbered.groupBy(F.spark_partition_id().alias("_part"), block).agg(F.collect_list(record).alias("r"))
+    arrays = numbered.groupBy(*_blocks(size)).agg(F.collect_list(record).alias("r"))
     text = arrays.select(F.to_json("r", {"ignoreNullFields": "false"}).alias("value"))
     text.repartition(6).write.text(path)
 
 
-def _write_json_files(df: DataFrame, path: str) -> None:
-    """Files of one array each, a record to a line."""
+def _write_json_files(df: DataFrame, path: str, size: int = 50_000) -> None:
+    """Files of one array of at most ``size`` records each, a record to a line."""
     text = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    # Sixteen groups, so that an array never holds the whole table.
-    part = F.pmod(F.xxhash64("value"), F.lit(16)).alias("part")
-    arrays = text.groupBy(part).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
-    arrays.write.partitionBy("part").text(path)
+    numbered = text.withColumn("_id", F.monotonically_increasing_id())
+    arrays = numbered.groupBy(*_blocks(size)).agg(F.collect_list("value").alias("r"))
+    text = arrays.select(F.concat(F.lit("[\n"), F.array_join("r", ",\n"), F.lit("\n]")).alias("value"))
+    text.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, write) -> str:
