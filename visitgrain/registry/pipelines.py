@@ -642,9 +642,9 @@ def register_forecasts() -> None:
 
     newest = "(SELECT max(last_day) FROM line)"
     on_visits("FC-3", stored_models, _trend_rows(f"greatest(last_day, {newest}), last_day + 30"))
-    on_visits("FC-4", lambda v: rounded(arima.fit(_daily_counts(v), [(2, 0, 1)]).select("series_key", "p", "d", "q", "aic"), "aic"))
+    on_visits("FC-4", lambda v: rounded(arima.fit(_daily_counts(v), arima.candidates()).select("series_key", "p", "d", "q", "aic"), "aic"))
     on_visits("FC-5", lambda v: rounded(arima.best_orders(_daily_counts(v)), "target"))
-    on_visits("FC-6", lambda v: _dated(arima.forecast(_daily_counts(v), 20, [(1, 1, 1), (2, 0, 1)]), "yhat"))
+    on_visits("FC-6", lambda v: _dated(arima.forecast(_daily_counts(v), 20), "yhat"))
     on_visits("FC-7", lambda v: _dated(forecasts.visits_by_registration_type(v, shared_order=True), "yhat"))
     on_visits("FC-8", lambda v: _dated(forecasts.revenue_and_cost(v), "yhat"))
     on_visits("FC-9", lambda v: _dated(arima.forecast(_daily_counts(v), 30, [(0, 0, 0)]), "yhat").select("series_key", PERIOD),
