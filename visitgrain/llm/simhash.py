@@ -266,7 +266,8 @@ def shingle_similarity(
     """For ``accept``: keeps the pairs whose texts' sets of word shingles have Jaccard ``least`` or more.
 
     A fingerprint is represented by the text of its smallest id; one that no id has is taken as it
-    is. Only texts that stand in a pair are read into sets.
+    is, and texts of equal fingerprints are not compared. Only texts that stand in a pair are read
+    into sets. ``similar.keep_one`` compares every text's own set.
     """
 
     def accept(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
