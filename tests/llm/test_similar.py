@@ -7,7 +7,9 @@ import pytest
 from test_pipeline import jaccard
 from test_simhash import roots
 
+import corpus_pipeline
 from visitgrain.llm import similar, simhash
+from visitgrain.llm.common import read_table
 
 COLUMNS = ("doc_id", "text")
 
@@ -82,3 +84,16 @@ def test_recall_of_the_bands(low):
             a, b = (similar.bands_of(similar.shingle_set(" ".join(w))) for w in (words, other))
             met += bool(np.intersect1d(a, b).size)
     assert met == all_
+
+
+def test_stage_equals_all_comparisons_of_the_data(spark, sf_dir):
+    """Brute force over the documents' sets, without any cut of fingerprints."""
+    docs = read_table(spark, sf_dir, "documents")
+    sets = {r.doc_id: set(similar.shingle_set(r.text or "").tolist()) for r in docs.collect()}
+
+    def alike(x, y):
+        return len(x & y) / len(x | y) >= 0.8 if x | y else True
+
+    links = roots((a, b) for a in sets for b in sets if a <= b and alike(sets[a], sets[b]))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect())
+    assert got == sorted(set(links.values()))
