@@ -76,3 +76,8 @@ def test_frames(documents, odd_texts):
     clean = {r.doc_id: r.text for r in pii.redact_documents(docs, ("doc_id", "text", "lang")).collect()}
     assert clean[0] is None and clean[1] == "" and clean[len(odd_texts)] == "[EMAIL]"
     assert pii.scan_pii(documents([])).collect() == [] and pii.redact_documents(documents([])).collect() == []
+
+
+def test_base_spans_are_redacted_whatever_their_context():
+    assert pii.redact("release pushed to 10.2.3.4 today") == "release pushed to [IP] today"
+    assert pii.redact("see section 4 of host 192.168.0.1") == "see section 4 of host [IP]"

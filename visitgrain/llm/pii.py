@@ -140,11 +140,11 @@ def find_pii(text: str | None) -> list[tuple[int, int, int, float]]:
 def redact(text: str, least: float = LEAST_SCORE) -> str:
     """The text with each personal span replaced by its kind in brackets.
 
-    Spans that overlap are replaced together, under the kind of the first.
+    Spans of the base kinds are replaced whatever their context says, others from score ``least``. Spans that overlap are replaced together, under the kind of the first.
     """
     out, at, until = [], 0, -1
     for start, k, end, score in find_pii(text):
-        if score < least:
+        if k >= len(BASE_KINDS) and score < least:
             continue
         if start >= until:
             if until >= 0:
