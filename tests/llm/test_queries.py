@@ -30,7 +30,7 @@ def test_all_are_registered(spark):
     import __spark_entry__ as entry
 
     assert set(Q.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
@@ -121,3 +121,10 @@ def test_token_counts(spark, sf_dir):
         total[1] += n
     got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in run(spark, sf_dir, "op10_token_counts")}
     assert got == want
+
+
+def test_whitening(spark, sf_dir):
+    from test_whitening import check
+
+    rows = [(r.vec_id, list(r.embedding)) for r in read_table(spark, sf_dir, "embeddings").collect()]
+    check(rows, run(spark, sf_dir, "op12_embedding_whitening"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from visitgrain.llm import bpe, decontaminate, pii, quality, resharding, secrets, simhash, token_counts, token_frames, topk
+from visitgrain.llm import (
+    bpe, centroids, decontaminate, pii, quality, resharding, secrets, simhash, token_counts, token_frames, topk, url_filter,
+    whitening,
+)
 from visitgrain.llm.common import pick, read_table, settle
 from visitgrain.sources.fs import new_folder
 
@@ -129,6 +132,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _ = centroids.clusters(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64)
+    return made
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), spark, most=16, scale=64, offset=1_000_000)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees learn from URLs labelled by words of their host; a quarter of the pages is held out."""
+    pages = read_table(spark, sf_dir, "pages")
+    label = url_filter.label_by_words(F.col("host"))
+    model = url_filter.fit(pages, label, spark, learn=~held_out("page_id"))
+    return url_filter.judge(pages, model)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -142,10 +162,41 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_pii,
         op10_token_counts,
+        op11_centroid_clustering,
+        op12_embedding_whitening,
+        op13_url_filter,
     )
 }
 
+_ROUND = """, a{0} AS (
+      SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT vec_id, v, row, c, CAST(list_sum([(z[1] - z[2]) ** 2 for z in list_zip(v, w)]) AS BIGINT) AS d
+        FROM kept, c{0})
+      GROUP BY vec_id, v, row)"""
+_STEP = """, s{0} AS (
+      SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{0}, unnest(range(1, 65)) AS t(i) GROUP BY c, i
+    ), m{0} AS (
+      SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM s{0} GROUP BY c
+    ), c{1} AS (
+      SELECT c, coalesce(m{0}.w, c{0}.w) AS w FROM c{0} LEFT JOIN m{0} USING (c))"""
+_CLUSTERS = (
+    """WITH kept AS (
+      SELECT vec_id, row_number() OVER () AS row, [CAST(floor(64 * x::DOUBLE) AS BIGINT) for x in embedding] AS v
+      FROM embeddings WHERE len(embedding) = 64 AND len([x for x in embedding if isfinite(x)]) = 64
+    ), c0 AS (
+      SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS c, v AS w FROM kept
+      WINDOW w AS (ORDER BY sha256(concat('1:', vec_id)), v) QUALIFY row_number() OVER w <= 16)"""
+    + "".join(_ROUND.format(i) + _STEP.format(i, i + 1) for i in range(3))
+    + _ROUND.format(3)
+    + """
+    SELECT vec_id, c AS cluster, d AS distance,
+      CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(w, ',')) AS centroid_sha256
+    FROM a3 JOIN c3 USING (c)"""
+)
+
 ORACLES = {
+    "op11_centroid_clustering": _CLUSTERS,
     "op7_exact_top_k": """
         WITH v AS (
           SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v
