@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 from test_decontaminate import brute as contained
-from test_simhash import plain_fingerprint, roots
+from test_simhash import roots
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -36,16 +36,11 @@ def test_rows_equal_plain_decisions(spark, sf_dir):
     score = quality.scorer(model)
     texts = {r.doc_id: r.text or "" for r in docs.collect() if score(r.text or "") >= GOOD}
 
-    prints, rep = {i: plain_fingerprint(t) for i, t in texts.items()}, {}
-    for i in sorted(texts):
-        rep.setdefault(prints[i], i)
-    links = roots(
-        (a, b) for a, i in rep.items() for b, j in rep.items()
-        if a == b or a < b and (a ^ b).bit_count() <= 5 and jaccard(texts[i], texts[j]) >= 0.8
-    )
+    named = list(texts)
+    links = roots((i, j) for i in named for j in named if i <= j and jaccard(texts[i], texts[j]) >= 0.8)
     groups = defaultdict(list)
     for i in texts:
-        groups[links[prints[i]]].append(i)
+        groups[links[i]].append(i)
     texts = {min(g): texts[min(g)] for g in groups.values()}
 
     items = [(r.item_id, r.text) for r in read_table(spark, sf_dir, "benchmark").collect()]

@@ -86,24 +86,3 @@ def test_groups_of_odd_rows(spark, documents, odd_texts):
     assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
     assert simhash.near_duplicates(documents([]), spark).collect() == []
 
-
-def test_one_of_each_group_stays(spark, documents):
-    rng = random.Random(7)
-    base = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(50)) for _ in range(300)) for _ in range(6)]
-    near = base[0].replace(base[0].split()[150], "changed", 1)
-    rows = [(5, base[0]), (4, near), (9, base[0]), (1, base[1]), (1, base[1]), (2, base[2]), (None, base[3]), (None, base[3]), (7, None), (8, "")]
-    docs = documents(rows)
-    out = simhash.keep_one(
-        docs, spark, ("doc_id", "text"), radius=5, accept=simhash.shingle_similarity(docs, spark)
-    ).collect()
-    assert sorted((r.doc_id or -1 for r in out)) == [-1, 1, 2, 4, 7]
-    assert simhash.keep_one(documents([]), spark, ("doc_id", "text")).collect() == []
-
-
-def test_unlike_texts_are_not_joined(spark, documents):
-    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
-    words = [f"w{i}" for i in range(100)]
-    texts = [" ".join(words), " ".join(words[:98] + ["x", "y"]), " ".join(words[:60] + ["z"] * 40)]
-    nodes = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "fp long, rep long")
-    kept = simhash.shingle_similarity(documents(texts), spark)(pairs, nodes).collect()
-    assert [(r.a, r.b) for r in kept] == [(0, 1)]

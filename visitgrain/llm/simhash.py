@@ -25,7 +25,6 @@ other columns of the input are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 from math import comb, log2
 
@@ -59,9 +58,8 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """The SimHash of a text as an unsigned number."""
-    hashes = shingle_hashes(text, width)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles' hashes as an unsigned number."""
     n = len(hashes)
     if not n:
         return 0
@@ -72,6 +70,10 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, width: int = 3) -> int:
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and ``fp``, the fingerprint as a signed 64-bit number."""
 
@@ -226,20 +228,13 @@ def groups(
     crowd: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    accept: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Each row's (id, ``fp``), and each distinct fingerprint's ``root`` and ``component_id``.
-
-    ``accept`` may thin the linked pairs: a function from (pairs, nodes) to pairs, where nodes has
-    each distinct fingerprint and ``rep``, the smallest id that has it.
-    """
+    """Each row's (id, ``fp``), and each distinct fingerprint's ``root`` and ``component_id``."""
     marked = settle(fingerprints(docs, width, id_col, text_col), spark, "fingerprints")
     nodes = settle(marked.groupBy("fp").agg(F.min(id_col).alias("rep")), spark, "nodes")
     if segments is None:
         segments = segments_for(nodes.count(), radius)
     pairs = near_pairs(nodes, spark, radius, segments, crowd)
-    if accept is not None:
-        pairs = accept(settle(pairs, spark, "pairs"), nodes)
     roots = components(pairs, spark)
     # Ids are compared over each component, since its smallest fingerprint need not hold the smallest id.
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
@@ -254,87 +249,3 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id"
     marked, answer = groups(docs, spark, id_col=id_col, **how)
     return marked.join(answer, F.col("fp") == F.col("of")).select(id_col, "fp", "component_id")
 
-
-def shingle_similarity(
-    docs: DataFrame,
-    spark: SparkSession,
-    width: int = 5,
-    least: float = 0.8,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """For ``accept``: keeps the pairs whose texts' sets of word shingles have Jaccard ``least`` or more.
-
-    A fingerprint is represented by the text of its smallest id; one that no id has is taken as it
-    is, and texts of equal fingerprints are not compared. Only texts that stand in a pair are read
-    into sets. ``similar.keep_one`` compares every text's own set.
-    """
-
-    def accept(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        paired = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct()
-        reps = nodes.join(paired, F.col("fp") == F.col("p"), "left_semi").where("rep is not null")
-        texts = (
-            pick(docs, id_col, text_col)
-            .join(reps, F.col(id_col) == F.col("rep"))
-            .select("fp", F.coalesce(text_col, F.lit("")).alias("words"))
-            .groupBy("fp")
-            .agg(F.min("words").alias("words"))
-        )
-
-        def start():
-            def work(fps, words):
-                sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts_of(words)]
-                return {"fp": fps, "shingles": (sets, pa.list_(pa.int64()))}
-
-            return work
-
-        sets = settle(scan(texts, ["fp", "words"], start, {"fp": "bigint", "shingles": "array<bigint>"}), spark, "shingles")
-        left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        enough = both >= least * (F.size("x") + F.size("y") - both)
-        return pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce(enough, F.lit(True))).select("a", "b")
-
-    return accept
-
-
-def keep_one(
-    docs: DataFrame, spark: SparkSession, keep: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", **how
-) -> DataFrame:
-    """The ``keep`` columns of one document of each group: the one whose id names it.
-
-    Rows that repeat that id and its text stay once. In a group without any id one row stays.
-    """
-    docs = pick(docs, *dict.fromkeys((id_col, text_col, *keep)))
-    marked, answer = groups(docs, spark, id_col=id_col, text_col=text_col, **how)
-    chosen = settle(
-        marked.join(answer, (F.col("fp") == F.col("of")) & (F.col(id_col) == F.col("component_id")))
-        .select(F.col(id_col).alias("chosen"))
-        .distinct(),
-        spark,
-        "chosen",
-    )
-    with_id = (
-        docs.join(chosen, F.col(id_col) == F.col("chosen"), "left_semi")
-        .withColumn("text hash", F.xxhash64(text_col))
-        .dropDuplicates([id_col, "text hash"])
-        .select(*keep)
-    )
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return with_id
-
-    names, width = list(dict.fromkeys((text_col, *keep))), how.get("width", 3)
-
-    def start():
-        def work(*columns):
-            made = np.array([fingerprint(t, width) for t in texts_of(columns[0])], np.uint64)
-            return {"fp": (made.view(np.int64), pa.int64()), **dict(zip(names, columns))}
-
-        return work
-
-    rows = scan(nameless, names, start, {"fp": "bigint", **{c: type_of(docs, c) for c in keep}})
-    without_id = (
-        rows.join(answer.where("component_id is null"), F.col("fp") == F.col("of")).dropDuplicates(["root"]).select(*keep)
-    )
-    return with_id.unionByName(without_id)
