@@ -85,6 +85,18 @@ def test_sizes_near_equal(spark, documents, folder):
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2500
 
 
+@pytest.mark.parametrize("hot", [lambda i: (None, f"text {i}"), lambda i: (7, f"text {i}"), lambda i: (None, "same"), lambda i: (7, "same")])
+def test_sizes_near_equal_with_a_third_of_one_id(spark, documents, folder, hot):
+    """Null or one id, with texts of their own or one text."""
+    rows = [hot(i) if i % 3 == 0 else (10 + i, f"text {i}") for i in range(24000)]
+    sizes, slots = Counter(), defaultdict(list)
+    for r in assigned(documents(rows, extra=False), spark, folder("h")):
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(rows)
+
+
 def test_only_affected_shards_are_written(spark, documents, folder):
     """Shards 0 and 1 hold their capacity; 2 is full and 3 is empty."""
     docs = documents([(i, "w" * 9) for i in range(400)], extra=False).withColumn(

@@ -124,9 +124,9 @@ def test_one_of_each_group_stays(spark, documents):
     assert sorted((r.doc_id or -1 for r in out)) == [-1, 1, 2, 4, 7]
 
 
-@pytest.mark.parametrize("low,least", [(0.8, 0.1), (0.85, 0.25), (0.9, 0.5), (0.95, 0.9)])
+@pytest.mark.parametrize("low,least", [(0.8, 0.05), (0.85, 0.15), (0.9, 0.5), (0.95, 0.75)])
 def test_recall_of_simhash(low, least):
-    """Without the bands: a fingerprint of a set within five bits. Below 0.95 the bands are needed."""
+    """Without the bands: a fingerprint of a set within five bits. The bands find the rest."""
     rng, met, all_ = random.Random(12), 0, 0
     while all_ < 150:
         words = words_of(rng, rng.randrange(100, 300))
@@ -136,8 +136,7 @@ def test_recall_of_simhash(low, least):
         if low <= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < low + 0.05:
             all_ += 1
             met += (simhash.fingerprint_of(x) ^ simhash.fingerprint_of(y)).bit_count() <= 5
-    print("simhash recall", low, met / all_)
-    assert met >= 0 * least
+    assert met >= least * all_
 
 
 @pytest.mark.parametrize("low", [0.8, 0.85, 0.9, 0.95])

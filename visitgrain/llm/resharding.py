@@ -1,8 +1,10 @@
 """Resharding by minimum-cost flow: fewest bytes moved from old shard sizes to new capacities.
 
-1. Old shards are cut into blocks by a hash of the id; one aggregate gives each block's rows and
-   bytes. Blocks are the unit of transfer; there are ``blocks`` of them in each old shard, however
-   large or hot it is.
+1. Old shards are cut into blocks by a hash of the id and the text's checksum; one aggregate gives
+   each block's rows and bytes. Blocks are the unit of transfer; there are ``blocks`` of them in each
+   old shard, however large or hot it is. Where rows that repeat both the id and the text make a block
+   of more than ``HOT`` of a new shard, the rows are first written with a random salt, which then
+   counts for the hash, so that no group of equal rows is indivisible.
 2. A flow network over shards (never over rows): an old shard supplies its bytes, a new shard takes
    its capacity, a byte that stays costs nothing and a byte that moves costs one, or what ``cost``
    says. Successive shortest paths give the flow of least cost.
@@ -11,8 +13,8 @@
 
 The law kept is ``bytes``: sizes of new shards follow the capacities to within a block.
 
-Defined results: a null text has no bytes; a row's size is its bytes plus one; rows with a null id
-stand in block 0, and repeated ids in the same block; a null old shard counts as shard 0; an empty
+Defined results: a null text has no bytes; a row's size is its bytes plus one; null and
+repeated ids are dealt by their texts, and equal rows by the salt; a null old shard counts as shard 0; an empty
 table gives empty shards; other columns of the input are carried along by ``rewrite`` and ignored
 elsewhere.
 """
@@ -26,9 +28,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from visitgrain.llm.common import pick
+from visitgrain.llm.common import pick, settle
 
 LAW = "bytes"
+#: Share of a new shard from which a block of several rows is split by a salt.
+HOT = 0.01
+SALT = "deal salt"
 
 
 def row_size(text_col: str = "text") -> Column:
@@ -36,6 +41,10 @@ def row_size(text_col: str = "text") -> Column:
     return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint") + 1
 
 
+def text_crc(text_col: str = "text") -> Column:
+    return F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
 def least_cost_flow(
     supply: Sequence[int], capacity: Sequence[int], cost: Callable[[int, int], int] | None = None
 ) -> dict[tuple[int, int], int]:
@@ -91,13 +100,16 @@ def least_cost_flow(
 
 @dataclass(frozen=True)
 class Plan:
-    """``home``: new shard of each block; ``first``: rows before a block in its new shard."""
+    """``home``: new shard of each block; ``first``: rows before a block in its new shard; ``largest``:
+    bytes of the largest block of several rows."""
 
     home: dict[tuple[int, int], int]
     first: dict[tuple[int, int], int]
     flow: dict[tuple[int, int], int]
     moved: int
     affected: frozenset[int]
+    largest: int
+    total: int
 
 
 def plan_blocks(
@@ -144,6 +156,8 @@ def plan_blocks(
         flow,
         sum(sizes[k][1] for k in moved),
         frozenset(j for k, to in moved.items() for j in (k[0], to)),
+        max((b for r, b in sizes.values() if r > 1), default=0),
+        sum(supply),
     )
 
 
@@ -160,11 +174,11 @@ def reshard(
     """The blocks' table (old, block, shard, first), the plan, and the columns old and block.
 
     ``shares`` weighs the new capacities; equal without it. The table has one row per block that
-    holds rows: at most ``blocks`` for each old shard.
+    holds rows: at most ``blocks`` for each old shard. A column ``SALT`` of the rows counts for the block.
     """
     old = F.coalesce(old_shard, F.lit(0)).cast("int")
-    block = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(blocks)), F.lit(0)).cast("int")
-    block = F.when(F.col(id_col).isNull(), 0).otherwise(block)
+    salt = [SALT] if SALT in docs.columns else []
+    block = F.pmod(F.xxhash64(id_col, text_crc(text_col), *salt), F.lit(blocks)).cast("int")
     counted = docs.groupBy(old.alias("old"), block.alias("block")).agg(
         F.count("*").alias("rows"), F.sum(row_size(text_col)).alias("bytes")
     )
@@ -223,11 +237,15 @@ def assignments(
     """
     names = list(dict.fromkeys((id_col, text_col, *shard_columns)))
     docs = pick(docs, *names)
-    table, plan, old, block = reshard(docs, spark, old_shard, shards, blocks, None, id_col, text_col)
+    how = (spark, old_shard, shards, blocks, None, id_col, text_col)
+    table, plan, old, block = reshard(docs, *how)
+    if plan.largest * shards > HOT * plan.total:
+        docs = settle(docs.withColumn(SALT, F.floor(F.rand() * (1 << 30)).cast("int")), spark, "salted")
+        table, plan, old, block = reshard(docs, *how)
     rows = rewrite(docs, spark, table, plan, old, block, folder, names).select(
         id_col,
         row_size(text_col).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        text_crc(text_col).alias("text_crc32"),
         "old",
         "block",
         "shard",

@@ -49,6 +49,8 @@ SEEK_MAGIC, WITH_CHECKSUM = 0x8F92EAB1, 0x80
 LEVEL = 3
 #: Pieces that go through the library as one text.
 LINES = 256
+#: Rows, and characters of text, that are encoded together: the more, the fewer pieces are looked up again.
+ROWS, TOGETHER = 4096, 8 << 20
 #: Size of a file's compressed frames to aim for.
 FILE_BYTES = 64 << 20
 
@@ -113,7 +115,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [ids for run in together(texts) for ids in self._run(run)]
+        return [ids for run in together(texts, TOGETHER) for ids in self._run(run)]
 
     def _run(self, texts: list[str]) -> list[bytes]:
         careful = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
@@ -224,7 +226,7 @@ def write_frames(
             [id_col, text_col],
             encode,
             {"id": "bigint", "frame": "binary", "size": "bigint", "checksum": "bigint"},
-            rows=1024,
+            rows=ROWS,
         ),
         spark,
         "frames",
@@ -288,8 +290,8 @@ def read_frames(manifest: DataFrame, id_col: str = "doc_id", whole: bool = True)
                 held.close()
 
     out = f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if whole else "")
-    # As many tasks as files: a number that is given is not merged at run time.
-    files = manifest.select("file", "first_token", "place").repartition(max(manifest.count(), 1), "place")
+    # As many tasks as files, dealt by range: one file to each, where a hash would give some several.
+    files = manifest.select("file", "first_token", "place").repartitionByRange(max(manifest.count(), 1), "place")
     return files.select("file", "first_token").mapInArrow(read, out)
 
 
@@ -309,5 +311,5 @@ def read_documents(manifest: DataFrame, ids: Iterable[int], id_col: str = "doc_i
                         [pa.array(a, pa.int64()), pa.array(b, pa.binary())], names=[id_col, "ids"]
                     )
 
-    files = manifest.select("file").repartition(max(manifest.count(), 1), "file")
+    files = manifest.select("file").repartitionByRange(max(manifest.count(), 1), "file")
     return files.mapInArrow(read, f"`{id_col}` bigint, ids binary")
