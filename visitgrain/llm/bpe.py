@@ -156,7 +156,8 @@ class WordEncoder:
         self.final = np.array([vocab[c + suffix] for c in letters], np.int64)
         names = {i: c for c, i in vocab.items()} | {i: c for c, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.table = PieceTable(self._make)
+        # A Python worker outlives its stage, and what it holds counts for the stages that follow.
+        self.table = PieceTable(self._make, kept=1 << 18)
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words."""
