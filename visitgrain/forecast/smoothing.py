@@ -99,3 +99,79 @@ def predict(states: DataFrame, horizon: int = 90, freq: str = "D") -> DataFrame:
 def forecast(history: DataFrame, holdout: int = 30, horizon: int = 90, freq: str = "D", **grid) -> DataFrame:
     """Fit without the last ``holdout`` points and predict ``horizon`` buckets from there."""
     return predict(fit(history, holdout, **grid), horizon, freq)
+
+
+# --- additive season ---
+
+
+def _seasonal_state(points: Column, season: int, alpha: Column, beta: Column, gamma: Column) -> Column:
+    """Fold the points into (level, trend, seasonal terms, squared one-step error).
+
+    The first season sets the level (its mean) and the terms, the second the trend. The terms stand
+    in the order in which they are next used, so a step takes the first and puts its successor last.
+    """
+    y = F.transform(points, lambda p: p[VALUE])
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+    first, second = F.slice(y, 1, season), F.slice(y, season + 1, season)
+    level = total(first) / season
+    start = F.struct(
+        level.alias("level"),
+        ((total(second) - total(first)) / (season * season)).alias("trend"),
+        F.transform(first, lambda x: x - level).alias("terms"),
+        F.lit(0.0).alias("sse"),
+    )
+
+    def absorb(s: Column, value: Column) -> Column:
+        base, term = s["level"] + s["trend"], s["terms"][0]
+        now = alpha * (value - term) + (1 - alpha) * base
+        error = value - (base + term)
+        later = gamma * (value - now) + (1 - gamma) * term
+        return F.struct(
+            now.alias("level"),
+            (beta * (now - s["level"]) + (1 - beta) * s["trend"]).alias("trend"),
+            F.concat(F.slice(s["terms"], 2, season - 1), F.array(later)).alias("terms"),
+            (s["sse"] + error * error).alias("sse"),
+        )
+
+    return F.aggregate(F.slice(y, F.lit(season + 1), F.size(y)), start, absorb)
+
+
+def smooth_seasonal(
+    history: DataFrame,
+    season: int,
+    alphas: Sequence[float] = DEFAULT_GRID,
+    betas: Sequence[float] = (0.0, 0.1, 0.3),
+    gammas: Sequence[float] = (0.1, 0.3, 0.5),
+    holdout: int = 0,
+) -> DataFrame:
+    """Level, trend and ``season`` additive terms per series, with the grid parameters of least squared error.
+
+    A series needs two whole seasons; one that is shorter is dropped.
+    """
+    if season < 2:
+        raise ValueError("season must be 2 or more")
+    tried = _train(history, holdout).filter(F.size("points") >= 2 * season)
+    for name, values in (("alpha", alphas), ("beta", betas), ("gamma", gammas)):
+        tried = tried.withColumn(name, F.explode(F.lit([float(v) for v in values])))
+    made = tried.withColumn("s", _seasonal_state(F.col("points"), season, F.col("alpha"), F.col("beta"), F.col("gamma")))
+    best = F.min(
+        F.struct(
+            F.col("s.sse").alias("sse"), "alpha", "beta", "gamma", F.col("s.level").alias("level"),
+            F.col("s.trend").alias("trend"), F.col("s.terms").alias("terms"), F.element_at("points", -1)[PERIOD].alias("last_time"),
+        )
+    )
+    return made.groupBy(KEY).agg(best.alias("b")).select(KEY, "b.*")
+
+
+def predict_seasonal(states: DataFrame, horizon: int = 90, freq: str = "D") -> DataFrame:
+    """(series_key, time_period, yhat) for the buckets after each series' last point."""
+    ahead = states.select("*", F.posexplode(future_periods(F.col("last_time"), horizon, freq)).alias("h", PERIOD))
+    term = F.get("terms", F.col("h") % F.size("terms"))
+    return ahead.select(KEY, PERIOD, (F.col("level") + (F.col("h") + 1) * F.col("trend") + term).alias("yhat"))
+
+
+def forecast_seasonal(
+    history: DataFrame, season: int = 7, holdout: int = 30, horizon: int = 90, freq: str = "D", **grid
+) -> DataFrame:
+    """Seasonal smoothing without the last ``holdout`` points, and ``horizon`` buckets from there."""
+    return predict_seasonal(smooth_seasonal(history, season, holdout=holdout, **grid), horizon, freq)

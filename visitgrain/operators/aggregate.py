@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from visitgrain.functions.measures import aggregate_named, difference_of_sums
 from visitgrain.schema import EVENT_TIME, PARTITION_MONTH, PARTITION_YEAR, PARTITIONS
+from visitgrain.sources.summary import labels_of, summary_of
 
 
 def count_by(df: DataFrame, *keys: str | Column, out: str = "count") -> DataFrame:
@@ -84,23 +85,32 @@ def time_extent(df: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).distinct()
+    labels = labels_of(df, column)
+    return df.select(column).distinct() if labels is None else labels
 
 
 def _calendar(df: DataFrame, ts: str) -> tuple[Column, Column]:
-    """Year and month of ``ts``; on a partitioned table these are read from the folder names."""
+    """Year and month of ``ts``; on a partitioned table the partition columns."""
     if ts == EVENT_TIME and set(PARTITIONS) <= set(df.columns):
         return F.col(PARTITION_YEAR), F.col(PARTITION_MONTH)
     return F.year(ts), F.month(ts)
 
 
+def _months(df: DataFrame, ts: str) -> DataFrame:
+    """The frame, or of a whole stored table its months."""
+    months = summary_of(df) if ts == EVENT_TIME else None
+    return df if months is None else months
+
+
 def observed_calendar(df: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
     """Distinct (year, month) pairs present."""
+    df = _months(df, ts)
     year, month = _calendar(df, ts)
     return df.select(year.cast("long").alias("tahun"), month.cast("long").alias("bulan")).distinct()
 
 
 def year_span(df: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
+    df = _months(df, ts)
     year, _ = _calendar(df, ts)
     return df.agg(F.min(year).cast("long").alias("first"), F.max(year).cast("long").alias("last"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from visitgrain.functions.predicates import all_of, column_predicates, ntz, year_bounds
 from visitgrain.schema import EVENT_TIME, PARTITION_MONTH, PARTITION_YEAR, PARTITIONS
+from visitgrain.sources.summary import LAST, summary_of
 
 # Names of relative ranges.
 RELATIVE_RANGES = {
@@ -63,9 +64,12 @@ def between(df: DataFrame, ts: str, start: Any, end: Any) -> DataFrame:
 def latest_frame(df: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
     """One row, one column ``latest``: the greatest event time.
 
-    On a partitioned table only the newest partition's column is read; finding that partition
-    touches no data column.
+    A whole stored table is answered from its summary. Of any other frame with the partition
+    columns only the newest month that has rows is read, once it is found without a data column.
     """
+    months = summary_of(df) if ts == EVENT_TIME else None
+    if months is not None:
+        return months.agg(F.max(LAST).alias("latest"))
     if _partitioned(df, ts):
         newest = df.agg(F.max(_partition_start())).scalar()
         df = df.filter(_partition_start() == newest)

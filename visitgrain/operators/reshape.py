@@ -7,14 +7,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitgrain.operators.resample import PERIOD
+from visitgrain.sources.summary import labels_of
 
 
 def categories(df: DataFrame, cat: str) -> list[str]:
     """Sorted non-null labels of a pivot column.
 
     These become column names, so they have to be known before planning: one pass over the column.
-    Callers that know the labels give them instead; for labels without end there is ``long_count``.
+    Of a whole stored table they come from its summary. Callers that know the labels give them
+    instead; for labels without end there is ``long_count``.
     """
+    known = labels_of(df, cat)
+    df = df if known is None else known
     return sorted(row[0] for row in df.filter(F.col(cat).isNotNull()).select(cat).distinct().collect())
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from visitgrain.operators import reshape
-from visitgrain.plans import geography, patients, revenue, utility, visits as vis
-from visitgrain.registry.core import on_visits, rounded
+from visitgrain.plans import geography, patients, revenue, rolled, utility, visits as vis
+from visitgrain.registry.core import ORACLES, add, on_visits, rounded
+from visitgrain.sources.visits import visits
 
 TYPES = ["IGD", "Rawat Inap", "Rawat Jalan"]
 GENDERS = ["Laki-laki", "Perempuan"]
@@ -406,8 +407,31 @@ def register_rest() -> None:
     )
 
 
+def register_rolled() -> None:
+    """The queries that roll-ups answer, beside the SQL of the plain ones."""
+
+    def money(query, *columns, digits=4, **given):
+        return lambda v, **kw: rounded(query(v, **given, **kw), *columns, digits=digits)
+
+    kinds = {
+        "Q-1": rolled.growth,
+        "Q-19": rolled.patients_by_gender,
+        "Q-20": lambda v, **kw: rolled.patients_by_gender_over_time(v, values=_labels(v, "jenis_kelamin", kw), **kw),
+        "Q-22": rolled.unique_patients,
+        "Q-25": rolled.patients_by_age,
+        "Q-26": money(rolled.revenue_by_registration_type, *TYPES, digits=2, values=TYPES),
+        "Q-46": money(rolled.revenue_over_time, "total_tagihan", "total_semua_hpp"),
+    }
+    for base, query in kinds.items():
+        for tag, kw in [("", {}), *((t, k) for t, k, _, _ in SETS)]:
+            plain = ORACLES[f"{base}{tag}"]
+            add(f"{base}_rolled{tag}", lambda spark, sf_dir, query=query, kw=kw: query(visits(spark, sf_dir), **kw), plain)
+    add("Q-23_rolled", lambda spark, sf_dir: rolled.new_per_year(visits(spark, sf_dir)), ORACLES["Q-23"])
+
+
 def register() -> None:
     register_visits()
     register_patients()
     register_revenue()
     register_rest()
+    register_rolled()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitgrain.forecast import arima, smoothing, trend
+from visitgrain.forecast import arima, changepoints, smoothing, trend
 from visitgrain.operators import aggregate as agg, clean, filters as flt
 from visitgrain.operators.cube import cube, preset
 from visitgrain.operators.resample import PERIOD
@@ -506,6 +506,22 @@ TREND = f"""{DAILY}, x AS (SELECT *, CAST(date_diff('day', DATE '2000-01-01', d)
     season AS (SELECT x.series_key, isodow(d) AS wd, avg(y - (a + b * t)) AS s FROM x JOIN line USING (series_key) GROUP BY 1, 2)"""
 
 
+# A line with one break, after two fifths of the history, by least squares: the hinge less its part in the line
+# gives the change of slope, and what is left of the series the line.
+_ONE_BREAK = f"""WITH {DAILY}, span AS (SELECT series_key, min(d) AS first_day, max(d) AS last_day FROM h GROUP BY 1),
+    x AS (SELECT h.series_key, y, date_diff('day', first_day, d) / date_diff('day', first_day, last_day)::DOUBLE AS t,
+        greatest(t - 0.4::DOUBLE, 0) AS g FROM h JOIN span USING (series_key)),
+    g AS (SELECT series_key, regr_slope(g, t) AS gb, regr_intercept(g, t) AS ga FROM x GROUP BY 1),
+    c AS (SELECT series_key, sum((g - ga - gb * t) * y) / sum((g - ga - gb * t) ** 2) AS c FROM x JOIN g USING (series_key) GROUP BY 1),
+    line AS (SELECT series_key, any_value(c) AS c, regr_slope(y - c * g, t) AS b, regr_intercept(y - c * g, t) AS a
+      FROM x JOIN c USING (series_key) GROUP BY 1),
+    days AS (SELECT series_key, d, first_day, last_day FROM h JOIN span USING (series_key) UNION ALL
+      SELECT series_key, last_day + CAST(n AS INTEGER), first_day, last_day FROM span, (SELECT unnest(generate_series(1, 30)) AS n)),
+    spots AS (SELECT series_key, d, date_diff('day', first_day, d) / date_diff('day', first_day, last_day)::DOUBLE AS t FROM days)
+  SELECT series_key, strftime(d, '%Y-%m-%d') AS time_period, round(a + b * t + c * greatest(t - 0.4, 0), 4) AS trend,
+    round(a + b * t + c * greatest(t - 0.4, 0), 4) AS yhat FROM spots JOIN line USING (series_key)"""
+
+
 def _trend_rows(days: str) -> str:
     return f"""WITH {TREND}, f AS (SELECT series_key, a, b, unnest(generate_series({days}, INTERVAL 1 DAY)) AS day FROM line)
         SELECT f.series_key, strftime(day, '%Y-%m-%d') AS time_period,
@@ -537,6 +553,41 @@ def _fitted_rows(history: str) -> str:
       FROM best JOIN last USING (series_key), (SELECT unnest(generate_series(1, 90)) AS k) WHERE place = 1"""
 
 
+def _seasonal_rows(m: int) -> str:
+    """Additive seasonal smoothing with alpha 0.3, beta 0.1, gamma 0.2; holdout 30, horizon 90."""
+    return f"""WITH RECURSIVE {DAILY},
+        train AS (SELECT series_key, list(y ORDER BY d)[:-31] AS ys, (list(d ORDER BY d)[:-31])[-1] AS last_day FROM h GROUP BY 1),
+        fold AS (
+          SELECT series_key, ys, last_day, {m} AS i, list_avg(ys[1:{m}]) AS l,
+            (list_sum(ys[{m + 1}:{2 * m}]) - list_sum(ys[1:{m}])) / {m * m} AS b,
+            [y - list_avg(ys[1:{m}]) for y in ys[1:{m}]] AS s
+          FROM train WHERE len(ys) >= {2 * m}
+          UNION ALL
+          SELECT series_key, ys, last_day, i + 1, new, 0.1::DOUBLE * (new - l) + 0.9::DOUBLE * b,
+            list_append(s[2:], 0.2::DOUBLE * (ys[i + 1] - new) + 0.8::DOUBLE * s[1])
+          FROM (SELECT *, 0.3::DOUBLE * (ys[i + 1] - s[1]) + 0.7::DOUBLE * (l + b) AS new FROM fold WHERE i < len(ys)))
+      SELECT series_key, strftime(last_day + CAST(k AS INTEGER), '%Y-%m-%d') AS time_period,
+        round(l + k * b + s[1 + (k - 1) % {m}], 4) AS yhat
+      FROM fold, (SELECT unnest(generate_series(1, 90)) AS k) WHERE i = len(ys)"""
+
+
+# Exact likelihoods at fixed coefficients, where they have a closed form: of AR(1) with 0.4 and MA(1) with 0.3.
+CLOSED_LIKELIHOODS = f"""WITH RECURSIVE {DAILY},
+    x AS (SELECT series_key, y - avg(y) OVER (PARTITION BY series_key) AS x,
+      row_number() OVER (PARTITION BY series_key ORDER BY d) AS i, count(*) OVER (PARTITION BY series_key) AS n FROM h),
+    ar AS (SELECT series_key, max(n) AS n, sum(CASE WHEN i = 1 THEN (1 - 0.16) * x * x ELSE e * e END) AS squares, -ln(1 - 0.16) AS logs
+      FROM (SELECT *, x - 0.4 * lag(x) OVER (PARTITION BY series_key ORDER BY i) AS e FROM x) GROUP BY 1),
+    ma AS (
+      SELECT series_key, n, i, x::DOUBLE AS e, 1.09::DOUBLE AS f, (x * x / 1.09)::DOUBLE AS squares, ln(1.09)::DOUBLE AS logs FROM x WHERE i = 1
+      UNION ALL
+      SELECT series_key, n, i, e, f, squares + e * e / f, logs + ln(f)
+      FROM (SELECT x.series_key, x.n, x.i, x.x - 0.3 / ma.f * ma.e AS e, 1.09 - 0.09 / ma.f AS f, squares, logs
+            FROM ma JOIN x ON x.series_key = ma.series_key AND x.i = ma.i + 1)),
+    both_ AS (SELECT series_key, 'ar' AS model, n, squares, logs FROM ar
+      UNION ALL SELECT series_key, 'ma', n, squares, logs FROM ma WHERE i = n)
+  SELECT series_key, model, round(n * (ln(2 * pi() * squares / n) + 1) + logs, 4) AS minus_two_log FROM both_"""
+
+
 # Orders whose least-squares fits have a closed form, so that SQL can check the search and the recursion.
 CLOSED = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0)]
 
@@ -593,6 +644,11 @@ MEASURE_HISTORY = f"""sums AS (SELECT CAST(date_trunc('day', waktu_registrasi) A
 
 
 def register_closed_forecasts() -> None:
+    fixed = {"ar": ([0.4], []), "ma": ([], [0.3])}
+    on_visits("FC-4_likelihood", lambda v: rounded(arima.likelihoods(_daily_counts(v), fixed), "minus_two_log"), CLOSED_LIKELIHOODS)
+    small = [(1, 0, 0), (0, 0, 1), (2, 0, 1), (1, 1, 1)]
+    on_visits("FC-4_exact", lambda v: rounded(arima.fit(_daily_counts(v), small, exact=True).select("series_key", "p", "d", "q", "aic"), "aic", digits=2))
+    on_visits("FC-6_exact", lambda v: _dated(arima.forecast(_daily_counts(v), 20, small, exact=True), "yhat", digits=2))
     on_visits("FC-4_closed", lambda v: rounded(arima.fit(_daily_counts(v), CLOSED).select("series_key", "p", "d", "q", "aic"), "aic"),
               f"WITH {DAILY}, {CLOSED_FITS} SELECT series_key, p, d, q, round(aic, 4) AS aic FROM scored")
     on_visits("FC-5_closed", lambda v: rounded(arima.best_orders(_daily_counts(v), CLOSED), "target"),
@@ -631,10 +687,21 @@ def register_forecasts() -> None:
                   SELECT series_key, strftime(last_day + CAST(k AS INTEGER), '%Y-%m-%d') AS time_period, round(l + k * b, 4) AS yhat
                   FROM fold, (SELECT unnest(generate_series(1, 90)) AS k) WHERE i = len(ys)""")
     on_visits("FC-1_fitted", lambda v: _dated(smoothing.forecast(_daily_counts(v)), "yhat"), _fitted_rows(DAILY))
+    for season in (7, 12):
+        fixed = {"alphas": [0.3], "betas": [0.1], "gammas": [0.2]}
+        on_visits(f"FC-1_season{season}",
+                  lambda v, season=season, fixed=fixed: _dated(smoothing.forecast_seasonal(_daily_counts(v), season, **fixed), "yhat"),
+                  _seasonal_rows(season))
+    on_visits("FC-1_season_fitted", lambda v: _dated(smoothing.forecast_seasonal(_daily_counts(v), 7), "yhat"))
     on_visits("FC-2", lambda v: _dated(trend.predict(_daily_counts(v), 30), "yhat"),
               _trend_rows("first_day, last_day + 30"))
     on_visits("FC-2_fourier", lambda v: _dated(trend.fourier_predict(_daily_counts(v), 30, yearly=10), "trend", "weekly", "yhat", "yhat_lower", "yhat_upper"))
 
+    on_visits("FC-2_changepoints", lambda v: _dated(changepoints.predict(_daily_counts(v), 30, yearly=10), "trend", "yhat", "yhat_lower", "yhat_upper"))
+    on_visits("FC-2_free",
+              lambda v: _dated(changepoints.predict(_daily_counts(v), 30, knots=1, scale=None, weekly=0).drop("yhat_lower", "yhat_upper"), "trend", "yhat"),
+              _ONE_BREAK)
+
     def stored_models(v: DataFrame) -> DataFrame:
         path, history = new_folder(v.sparkSession, "models"), _daily_counts(v)
         trend.save_models(trend.fit(history), path)

@@ -26,9 +26,6 @@ def build_session(app: str = "visitgrain", master: str | None = None, **conf: st
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
-        # Questions about partition columns alone, such as the newest month, are answered from the
-        # table's folders. Every folder of the stored tables holds rows, which this needs.
-        "spark.sql.optimizer.metadataOnly": "true",
         **conf,
     }
     for key, value in settings.items():

@@ -15,6 +15,7 @@ from visitgrain.schema import (
     STORED_SCHEMA,
     VISIT_SCHEMA,
 )
+from visitgrain.sources.summary import refresh, remember
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -30,8 +31,8 @@ def with_partitions(df: DataFrame, ts: str = EVENT_TIME) -> DataFrame:
     return df.withColumns({PARTITION_YEAR: F.year(ts), PARTITION_MONTH: F.month(ts)})
 
 
-def write_visits(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write visits partitioned by year and month of the event time.
+def write_visits(df: DataFrame, path: str, mode: str = "append", summarise: bool = True) -> None:
+    """Write visits partitioned by year and month of the event time, and bring the summary up to it.
 
     The rebalance sends each month to few writers, splitting a month that is much larger than
     the others; sorting inside a writer gives tight row-group statistics on the event time.
@@ -44,10 +45,12 @@ def write_visits(df: DataFrame, path: str, mode: str = "append") -> None:
         .option("partitionOverwriteMode", "static")
         .parquet(path, mode=mode)
     )
+    if summarise:
+        refresh(df.sparkSession, path)
 
 
 def read_stored_visits(spark: SparkSession, path: str) -> DataFrame:
-    return read_parquet(spark, path, STORED_SCHEMA)
+    return remember(read_parquet(spark, path, STORED_SCHEMA), path)
 
 
 def create_table(

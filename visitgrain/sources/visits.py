@@ -18,7 +18,7 @@ from visitgrain.sources.fs import finished, hadoop_path
 from visitgrain.sources.tables import read_stored_visits, with_partitions, write_visits
 
 # Part of every stored table's name; raise it when what is written changes.
-LAYOUT_VERSION = "2"
+LAYOUT_VERSION = "3"
 
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
