@@ -26,14 +26,14 @@ def put(folder, name, rows):
 class Flaky(polled.FolderEndpoint):
     """Fails while a file named ``down`` holds a count above zero, which each failure lowers."""
 
-    def _records(self):
+    def _records(self, *months):
         mark = f"{self.folder}/down"
         left = int(open(mark).read() or 0) if os.path.exists(mark) else 0
         if left:
             with open(mark, "w") as f:
                 f.write(str(left - 1))
             raise ConnectionError("the endpoint is down")
-        return super()._records()
+        return super()._records(*months)
 
 
 def run(spark, name, folder):
@@ -86,6 +86,20 @@ def test_fetch_gives_up_after_its_retries(folder):
                 read()
 
 
+def test_folders_of_months(spark, folder):
+    where = folder("in")
+    for month in ("2020-01", "2020-02", "2020-03"):
+        put(f"{where}/month={month}", "a", [(f"{month}-{i}", f"{month}-{i:02d}T00:00:00") for i in range(1, 11)])
+    ends = polled.FolderEndpoint(where, "ts", "month")
+    assert ends.latest() == dt.datetime(2020, 3, 10)
+    polled.register(spark, "poll_months", ends, SCHEMA, since=dt.datetime(2020, 1, 5), parts=5)
+    assert len(polled.read_polled(spark, "poll_months").collect()) == 25
+    opened = []
+    monthly = polled.FolderEndpoint(where, "ts", "month")
+    monthly._time, real = lambda r: opened.append(r["ts"][:7]) or real(r), monthly._time
+    assert len(list(monthly.records(dt.datetime(2020, 2, 3), dt.datetime(2020, 2, 6)))) == 3 and set(opened) == {"2020-02"}
+
+
 def test_batch_read_and_empty_endpoint(spark, folder):
     where = folder("in")
     os.makedirs(where)

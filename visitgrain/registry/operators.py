@@ -78,6 +78,8 @@ def register_filters() -> None:
     _filter("F-13", lambda v: flt.latest_month(v, TS), LATEST_MONTH)
     _filter("F-14", lambda v: flt.latest_month(flt.equals(v, jenis_registrasi="Rawat Jalan"), TS, anchor=v),
             f"{LATEST_MONTH} AND jenis_registrasi = 'Rawat Jalan'")
+    _filter("F-14_region", lambda v: flt.latest_month(flt.equals(v, provinsi="ASIA"), TS, anchor=v),
+            f"{LATEST_MONTH} AND provinsi = 'ASIA'")
     _filter("F-15", lambda v: flt.between(v, TS, "1999-02-01", "1999-03-15"),
             "waktu_registrasi BETWEEN TIMESTAMP '1999-02-01' AND TIMESTAMP '1999-03-15'")
     _filter("F-16", lambda v: flt.time_filter(v, TS, year=2000, relative="month", start="1995-01-01", end="1995-02-01"), IN_YEAR)

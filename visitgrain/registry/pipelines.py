@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import datetime as dt
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from visitgrain.forecast import arima, changepoints, smoothing, trend
 from visitgrain.operators import aggregate as agg, clean, filters as flt
@@ -13,11 +16,12 @@ from visitgrain.plans.common import period as bucketed
 from visitgrain.registry.core import VISITS_CTE, add, on_visits, rounded
 from visitgrain.registry.dashboards import SIX_MONTHS, TYPES, counts
 from visitgrain.registry.raw import RAW_CTE, csv_path, json_files_path, json_path, raw_visits
-from visitgrain.schema import COLUMNS, VISIT_SCHEMA
-from visitgrain.sources import files, ingest, tables
+from visitgrain.schema import COLUMNS, EVENT_TIME, VISIT_SCHEMA
+from visitgrain.sources import files, ingest, polled, tables
 from visitgrain.sources.fs import new_folder
 from visitgrain.sources.visits import table_path, visits
 from visitgrain.streaming import landing, windows
+from visitgrain.streaming.landing import start
 
 TS, REVENUE, COST = "waktu_registrasi", "total_tagihan", "total_semua_hpp"
 
@@ -305,6 +309,21 @@ def _st1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(clean.convert_types(spark.read.schema(stream.schema).parquet(target)))
 
 
+def _st1_polled(spark, sf_dir: str) -> DataFrame:
+    """Visits behind an endpoint, polled by event time: one trigger reads what is there, in parts."""
+    where, out = new_folder(spark, "endpoint"), new_folder(spark, "polled")
+    time = F.date_format(EVENT_TIME, "yyyy-MM-dd'T'HH:mm:ss").alias(EVENT_TIME)
+    month = F.date_format(EVENT_TIME, "yyyy-MM").alias("month")
+    sent = visits(spark, sf_dir).select("id_registrasi", time, "jenis_registrasi", month)
+    sent.repartition("month").write.partitionBy("month").json(where)
+    schema, name = T.StructType([T.StructField(c, T.StringType()) for c in sent.columns[:3]]), f"poll{uuid.uuid4().hex[:8]}"
+    polled.register(spark, name, polled.FolderEndpoint(where, EVENT_TIME, "month"), schema, since=dt.datetime(1900, 1, 1), parts=64)
+    writer = polled.poll(spark, name).writeStream.format("parquet").option("path", out)
+    start(writer, new_folder(spark, "polled-checkpoint"), None).awaitTermination()
+    got = spark.read.schema(schema).parquet(out).groupBy("jenis_registrasi")
+    return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id_registrasi").alias("ids"))
+
+
 def _st2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load up to a day, then twice whatever is later than the table; the second finds nothing."""
     v, path = visits(spark, sf_dir), new_folder(spark, "backfill")
@@ -382,6 +401,8 @@ def _st4_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register_streams() -> None:
     add("ST-1", _st1, _raw_oracle(_digest_sql("typed")))
+    add("ST-1_polled", _st1_polled, f"""WITH {VISITS_CTE} SELECT jenis_registrasi, count(*) AS n,
+        count(DISTINCT id_registrasi) AS ids FROM visits GROUP BY 1""")
     add("ST-2", _st2, f"WITH {VISITS_CTE} " + _digest_sql("visits"))
     add("ST-3", _st3, _raw_oracle("SELECT year(waktu_registrasi) AS tahun, count(*) AS n FROM cleaned GROUP BY 1"))
     unique = _raw_oracle("SELECT count(*) AS n, count(DISTINCT id_registrasi) AS ids FROM cleaned")

@@ -149,22 +149,33 @@ def poll(spark: SparkSession, name: str) -> DataFrame:
 class FolderEndpoint:
     """JSON-lines files of a folder as an endpoint, by any store that pyarrow's file systems reach.
 
-    Files may be added at any time; each is read whole by each span, so it suits files that are parts of an
-    export, not one large history.
+    Files may be added at any time. With ``by`` they lie in folders ``by=YYYY-MM`` of their months, and a span
+    reads its own months only; without it every span reads every file.
     """
 
-    def __init__(self, folder: str, ts: str):
-        self.folder, self.ts = folder, ts
+    def __init__(self, folder: str, ts: str, by: str | None = None):
+        self.folder, self.ts, self.by = folder, ts, by
 
-    def _records(self) -> Iterator[Mapping[str, Any]]:
+    def _files(self) -> list[str]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.folder)
+        found = store.get_file_info(fs.FileSelector(root, recursive=True))
+        return sorted(i.path for i in found if i.is_file and i.extension == "json")
+
+    def _month(self, path: str) -> str:
+        return path.rsplit(f"/{self.by}=", 1)[1][:7] if self.by else ""
+
+    def _records(self, low: str = "", high: str = "~") -> Iterator[Mapping[str, Any]]:
+        """Records of the files whose month is within ``low`` and ``high``, both included."""
         import json
 
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.folder)
-        for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
-            if info.is_file and info.extension == "json":
-                with store.open_input_stream(info.path) as file:
+        store, _ = fs.FileSystem.from_uri(self.folder)
+        for path in self._files():
+            if not self.by or low <= self._month(path) <= high:
+                with store.open_input_stream(path) as file:
                     for line in file.read().decode().splitlines():
                         if line:
                             yield json.loads(line)
@@ -173,7 +184,9 @@ class FolderEndpoint:
         return dt.datetime.fromisoformat(record[self.ts])
 
     def latest(self) -> dt.datetime | None:
-        return max((self._time(r) for r in self._records()), default=None)
+        newest = max((self._month(f) for f in self._files()), default="")
+        return max((self._time(r) for r in self._records(newest)), default=None)
 
     def records(self, low: dt.datetime | None, high: dt.datetime) -> Iterable[Mapping[str, Any]]:
-        return (r for r in self._records() if (low is None or self._time(r) > low) and self._time(r) <= high)
+        months = (f"{low:%Y-%m}" if low else "", f"{high:%Y-%m}")
+        return (r for r in self._records(*months) if (low is None or self._time(r) > low) and self._time(r) <= high)
