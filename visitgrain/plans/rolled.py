@@ -1,7 +1,7 @@
 """Dashboard queries answered from roll-ups, with the arguments and results of the plain ones.
 
-A roll-up answers where it has the columns that a query filters and groups by and where whole days
-suffice. A range that begins inside a day takes that one day from the visits. A frame without
+A roll-up answers where it has the columns that a query filters and groups by and where its grain
+suffices: days for sums, months for patients. A range that begins inside a day takes that one day from the visits. A frame without
 roll-ups, or a filter they lack, is answered by the plain query.
 
 Patients are counted as bits, so rows without a patient's id don't count as a patient.
@@ -100,7 +100,8 @@ def _year_or_latest_month(rolled: DataFrame, v: DataFrame, filters: dict) -> Dat
 def patients_by_gender_over_time(
     v: DataFrame, *, values: Sequence[str] | None = None, dense=False, label="start", **filters
 ) -> DataFrame:
-    rolled = _bits(v, filters)
+    daily = filters.get("year") is not None and filters.get("month") is not None
+    rolled = None if daily else _bits(v, filters)
     if rolled is None:
         return patients.by_gender_over_time(v, values=values, dense=dense, label=label, **filters)
     rows, freq = scoped(rolled, **filters)

@@ -1,7 +1,7 @@
 """Partial results kept beside a stored visits table, one set of rows for each month.
 
 A roll-up is what some months' visits come to before the last step of a query: sums per day, bitmaps
-of patients per day, the first visit of each patient in the month. Partial results of months add up to
+of patients per month, the first visit of each patient in the month. Partial results of months add up to
 those of any range, so a query reads them instead of visits; a load changes only the months it touches.
 
 ``ensure`` makes the months that are missing and returns the rows for the files of the frame it is
@@ -45,7 +45,8 @@ def _daily(rows: DataFrame) -> DataFrame:
 
 def _patients(rows: DataFrame) -> DataFrame:
     known = rows.filter(F.col(PATIENT).isNotNull())
-    grouped = known.groupBy(*PARTITIONS, _day(), "jenis_kelamin", "kategori_usia", F.bitmap_bucket_number(PATIENT).alias(BUCKET))
+    month = F.trunc(EVENT_TIME, "MM").cast("timestamp_ntz").alias(EVENT_TIME)
+    grouped = known.groupBy(*PARTITIONS, month, "jenis_kelamin", "kategori_usia", F.bitmap_bucket_number(PATIENT).alias(BUCKET))
     return grouped.agg(F.bitmap_construct_agg(F.bitmap_bit_position(PATIENT)).alias(BITS))
 
 
@@ -56,8 +57,9 @@ def _firsts(rows: DataFrame) -> DataFrame:
 
 #: Visits, revenue and cost per day, registration type and district.
 DAILY = Rollup("daily", _daily)
-#: Which patients came, per day, gender and age band: 4 KB for each 32,768 patients, before compression.
-PATIENTS = Rollup("patients", _patients)
+#: Which patients came, per month, gender and age band: 4 KB for each 32,768 patients, before compression.
+#: By days the bitmaps would be mostly empty.
+PATIENTS = Rollup("patients-by-month", _patients)
 #: Each patient's first visit in a month; the least over all months is the first of all.
 FIRSTS = Rollup("firsts", _firsts)
 
