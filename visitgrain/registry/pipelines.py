@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from visitgrain.forecast import arima, changepoints, smoothing, trend
 from visitgrain.operators import aggregate as agg, clean, filters as flt
@@ -17,9 +17,9 @@ from visitgrain.registry.core import VISITS_CTE, add, on_visits, rounded
 from visitgrain.registry.dashboards import SIX_MONTHS, TYPES, counts
 from visitgrain.registry.raw import RAW_CTE, csv_path, json_files_path, json_path, raw_visits
 from visitgrain.schema import COLUMNS, EVENT_TIME, VISIT_SCHEMA
-from visitgrain.sources import files, ingest, polled, tables
+from visitgrain.sources import files, incremental, ingest, polled, tables
 from visitgrain.sources.fs import new_folder
-from visitgrain.sources.visits import table_path, visits
+from visitgrain.sources.visits import STAR_TABLES, table_path, visits
 from visitgrain.streaming import landing, windows
 from visitgrain.streaming.landing import start
 
@@ -249,6 +249,26 @@ def _s12_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(out)
 
 
+def _s12_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base tables whose files come in three turns, orders before their lines and after them."""
+    star, target = new_folder(spark, "star"), new_folder(spark, "extended")
+
+    def come(table: str, rows: Column | None = None) -> None:
+        frame = spark.read.parquet(table_path(sf_dir, table))
+        (frame if rows is None else frame.where(rows)).write.mode("append").parquet(table_path(star, table))
+
+    for t in STAR_TABLES:
+        if t not in incremental.FACTS:
+            come(t)
+    line, order = F.col("l_orderkey"), F.col("o_orderkey")
+    for lines, orders in ((line % 3 == 0, order % 2 == 0), (line % 3 == 1, None), (line % 3 == 2, order % 2 == 1)):
+        come("lineitem", lines)
+        if orders is not None:
+            come("orders", orders)
+        incremental.extend(spark, star, target)
+    return _digest(incremental.current(spark, target))
+
+
 def register_sources() -> None:
     typed = _raw_oracle(_digest_sql("typed"))
     add("S-1", lambda s, d: _digest(clean.convert_types(files.read_csv(s, csv_path(s, d)))), typed)
@@ -274,6 +294,7 @@ def register_sources() -> None:
     cleaned = _raw_oracle(_digest_sql("cleaned"))
     add("S-12_again", _s12_again, cleaned)
     add("S-11", _s11, cleaned)
+    add("S-12_grown", _s12_grown, f"WITH {VISITS_CTE} " + _digest_sql("visits"))
     add("S-12", lambda s, d: _digest(ingest.ingest_batch(s, csv_path(s, d), new_folder(s, "ingest"), kind="csv")), cleaned)
     per_year = _raw_oracle("SELECT year(waktu_registrasi) AS tahun, kabupaten, count(*) AS n FROM cleaned GROUP BY 1, 2")
     add("S-13", _s13, per_year)
@@ -295,10 +316,10 @@ def _appended(v: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- streams
 
-def _ingest(spark: SparkSession, sf_dir: str, files_per_batch: int | None = 2) -> str:
+def _ingest(spark: SparkSession, sf_dir: str, files_per_batch: int | None = 2, against: str = "all") -> str:
     target = new_folder(spark, "stream")
     stream = landing.read_landing(spark, json_path(spark, sf_dir), files_per_batch=files_per_batch)
-    landing.ingest_stream(stream, target, f"{target}-checkpoint").awaitTermination()
+    landing.ingest_stream(stream, target, f"{target}-checkpoint", against=against).awaitTermination()
     return target
 
 
@@ -343,6 +364,21 @@ def _st4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id_registrasi").alias("ids"))
 
 
+def _st4_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys compared through the index; then all records again at another time, every third under a
+    new key: only those are taken in, also when their batch is replayed."""
+    target = _ingest(spark, sf_dir, against="index")
+    seen, again = landing.read_ingested(spark, target).select(*COLUMNS), new_folder(spark, "moved")
+    key = F.when(F.col("id_registrasi") % 3 == 0, -1 - F.col("id_registrasi")).otherwise(F.col("id_registrasi"))
+    seen.withColumns({"id_registrasi": key, TS: F.col(TS) + F.expr("INTERVAL 45 DAYS")}).write.parquet(again)
+    for _ in range(2):
+        landing.ingest_batch_into(spark.read.schema(VISIT_SCHEMA).parquet(again), 1000, target, against="index")
+    rows = landing.read_ingested(spark, target)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id_registrasi").alias("ids"),
+        F.count_if(F.col("id_registrasi") < 0).alias("moved"))
+
+
 def _st5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest, then replay a batch under its own id: the table stays the same."""
     target = _ingest(spark, sf_dir)
@@ -407,6 +443,9 @@ def register_streams() -> None:
     add("ST-3", _st3, _raw_oracle("SELECT year(waktu_registrasi) AS tahun, count(*) AS n FROM cleaned GROUP BY 1"))
     unique = _raw_oracle("SELECT count(*) AS n, count(DISTINCT id_registrasi) AS ids FROM cleaned")
     add("ST-4", _st4, unique)
+    add("ST-4_index", _st4_index, _raw_oracle("""SELECT count(*) + count_if(id_registrasi % 3 = 0) AS n,
+        count(DISTINCT id_registrasi) + count_if(id_registrasi % 3 = 0) AS ids,
+        count_if(id_registrasi % 3 = 0) AS moved FROM cleaned"""))
     add("ST-4_watermark", _st4_watermark, "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
     add("ST-5", _st5, unique)
     add("ST-6", _st6, _raw_oracle("""SELECT count(*) AS n, strftime(min(waktu_registrasi), '%Y-%m-%d %H:%M:%S') AS min_ts,

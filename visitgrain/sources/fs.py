@@ -31,6 +31,12 @@ def finished(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().getParent().toString() for s in fs.globStatus(jpath) or [])
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none where there is no such folder."""
+    jpath, fs = hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library wrote."""
     jpath, fs = hadoop_path(spark, path)
