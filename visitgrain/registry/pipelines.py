@@ -17,7 +17,7 @@ from visitgrain.registry.core import VISITS_CTE, add, on_visits, rounded
 from visitgrain.registry.dashboards import SIX_MONTHS, TYPES, counts
 from visitgrain.registry.raw import RAW_CTE, csv_path, json_files_path, json_path, raw_visits
 from visitgrain.schema import COLUMNS, EVENT_TIME, VISIT_SCHEMA
-from visitgrain.sources import files, incremental, ingest, polled, tables
+from visitgrain.sources import files, incremental, ingest, polled, tables, versions
 from visitgrain.sources.fs import new_folder
 from visitgrain.sources.visits import STAR_TABLES, table_path, visits
 from visitgrain.streaming import landing, windows
@@ -241,6 +241,21 @@ def _s13_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.count_by(grown, F.year(TS).cast("long").alias("tahun"), "kabupaten", out="n")
 
 
+def _s13_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload into the live table: only months it touches are written anew, then months are compacted."""
+    raw, path = raw_visits(visits(spark, sf_dir)), new_folder(spark, "live")
+    versions.append(clean.clean(raw.filter(F.col(TS) < "2000-06-01")), path)
+    before = versions.read(spark, path)
+    versions.upload(spark, path, raw.filter(F.col(TS) >= "2000-01-01"))
+    versions.compact(spark, path)
+    versions.expire(spark, path)
+    counted = [
+        agg.count_by(f, F.year(TS).cast("long").alias("tahun"), "kabupaten", out="n").withColumn("state", F.lit(name))
+        for name, f in (("before", before.filter(F.col(TS) < "2000-01-01")), ("after", versions.read(spark, path)))
+    ]
+    return counted[0].unionByName(counted[1])
+
+
 def _s12_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same load twice holds the same rows."""
     target = new_folder(spark, "twice")
@@ -299,6 +314,9 @@ def register_sources() -> None:
     per_year = _raw_oracle("SELECT year(waktu_registrasi) AS tahun, kabupaten, count(*) AS n FROM cleaned GROUP BY 1, 2")
     add("S-13", _s13, per_year)
     add("S-13_append", _s13_append, per_year)
+    add("S-13_swap", _s13_swap, _raw_oracle("""SELECT 'after' AS state, year(waktu_registrasi) AS tahun, kabupaten, count(*) AS n
+        FROM cleaned GROUP BY 1, 2, 3 UNION ALL SELECT 'before', year(waktu_registrasi), kabupaten, count(*)
+        FROM cleaned WHERE waktu_registrasi < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3"""))
     add("S-14", lambda s, d: agg.count_by(visits(s, d).select("id_registrasi", "usia"), "usia", out="n"),
         f"WITH {VISITS_CTE} SELECT usia, count(*) AS n FROM visits GROUP BY 1")
     add("S-14_limit", lambda s, d: visits(s, d).select("id_registrasi", "usia").limit(1000).agg(
@@ -359,6 +377,14 @@ def _st3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.count_by(landing.read_ingested(spark, _ingest(spark, sf_dir)), F.year(TS).cast("long").alias("tahun"), out="n")
 
 
+def _st3_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches as versions of one table, compacted between batches."""
+    table = new_folder(spark, "versions")
+    stream = landing.read_landing(spark, json_path(spark, sf_dir), files_per_batch=3)
+    versions.append_stream(stream, table, f"{table}-checkpoint", compact_above=2).awaitTermination()
+    return agg.count_by(versions.read(spark, table), F.year(TS).cast("long").alias("tahun"), out="n")
+
+
 def _st4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = landing.read_ingested(spark, _ingest(spark, sf_dir, files_per_batch=1))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id_registrasi").alias("ids"))
@@ -441,6 +467,7 @@ def register_streams() -> None:
         count(DISTINCT id_registrasi) AS ids FROM visits GROUP BY 1""")
     add("ST-2", _st2, f"WITH {VISITS_CTE} " + _digest_sql("visits"))
     add("ST-3", _st3, _raw_oracle("SELECT year(waktu_registrasi) AS tahun, count(*) AS n FROM cleaned GROUP BY 1"))
+    add("ST-3_versions", _st3_versions, _raw_oracle("SELECT year(waktu_registrasi) AS tahun, count(*) AS n FROM cleaned GROUP BY 1"))
     unique = _raw_oracle("SELECT count(*) AS n, count(DISTINCT id_registrasi) AS ids FROM cleaned")
     add("ST-4", _st4, unique)
     add("ST-4_index", _st4_index, _raw_oracle("""SELECT count(*) + count_if(id_registrasi % 3 = 0) AS n,
