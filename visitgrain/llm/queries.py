@@ -104,7 +104,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: every document comes; exact copies go; documents that are not in
-    English are counted anew under the vocabulary for many languages. The last batch is sent twice."""
+    English are counted anew under the vocabulary for many languages. The last batch is sent twice.
+
+    Of rows with one text, null being the empty one, that with the least id stays; without ids, the
+    least by source and language."""
     one, many = "byte_bpe_50k", "byte_bpe_multi_50k"
     versions = {v: public_tokenizers.path(f"{v}.tiktoken") for v in (one, many)}
     docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source").withColumn(
@@ -119,13 +122,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         "counts",
     )
-    first = counted.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("text_hash", "hash")
-    marked = settle(counted.join(first, F.col("text_hash") == F.col("hash")), spark, "marked")
-    original = F.col("doc_id").eqNullSafe(F.col("first_id"))
-    again = marked.where(original & foreign)
+    # The row of each text with the least id, ids before none; combined before the shuffle, so that copies never meet.
+    least = F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", F.map_entries("counts").alias("counts"))
+    firsts = settle(
+        counted.groupBy("text_hash").agg(F.min(least).alias("r"))
+        .select("r.doc_id", "r.source", "r.lang", F.map_from_entries("r.counts").alias("counts")),
+        spark,
+        "firsts",
+    )
+    again = firsts.where(foreign)
     ledger = token_counts.Ledger(spark, new_folder(spark, "ledger"))
     ledger.commit("come", token_counts.signed(counted, 1, one))
-    ledger.commit("copies-go", token_counts.signed(marked.where(~original), -1, one))
+    # What goes is all rows less the first ones; as totals, neither has to be told apart row by row.
+    ledger.commit("copies-go", token_counts.signed(counted, -1, one).unionByName(token_counts.signed(firsts, 1, one)))
     revised = token_counts.signed(again, -1, one).unionByName(token_counts.signed(again, 1, many))
     for _ in range(2):
         ledger.commit("revised", revised)

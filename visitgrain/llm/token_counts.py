@@ -3,8 +3,8 @@
 A ledger is a folder. A batch of signed rows (+1 for a document that comes, -1 for one that goes;
 a revised count is both) is added up and written under its own name. Totals are sums of committed
 batches, so the order of batches doesn't matter and nothing is rewritten. A batch is committed when
-its write job has finished; committing the same name again changes nothing, and a broken attempt is
-written anew. ``compact`` folds committed batches into one snapshot that lists what it holds, and
+its write job has finished; committing the same totals under its name again changes nothing, other totals
+are refused, and a broken attempt is written anew. ``compact`` folds committed batches into one snapshot that lists what it holds, and
 batches listed there are not added twice.
 
 Counts are those of the named byte-pair vocabularies. Defined results: null and empty texts have no
@@ -89,12 +89,18 @@ class Ledger:
         return f"{self.folder}/batches/{batch}"
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add a batch once; False if it was committed before."""
+        """Add a batch once; False if it was committed before, an error if it was with other totals."""
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch is named by letters, digits, - and _")
-        if is_written(self.spark, self._place(batch)) or batch in self._folded():
-            return False
         totals = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        if is_written(self.spark, self._place(batch)):
+            before = self.spark.read.schema(_BATCH).parquet(self._place(batch))
+            changed = totals.exceptAll(before).unionAll(before.exceptAll(totals))
+            if not changed.isEmpty():
+                raise ValueError(f"batch {batch} was committed with other totals; send the difference under a new name")
+            return False
+        if batch in self._folded():
+            return False
         totals.write.mode("overwrite").parquet(self._place(batch))
         return True
 
