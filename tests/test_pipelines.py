@@ -264,7 +264,7 @@ def test_live_series_equals_the_batch_answer(spark, folder, tmp_path):
     windows.upsert_live(series, folder("live"), folder("cp"), ["time_period", "kind"]).awaitTermination()
     batch = windows.windowed(spark.read.schema(schema).json(folder("in")), "ts", ["kind"], "value", "1 hour")
     assert sorted(map(str, windows.read_live(spark, folder("live"), batch.schema).collect())) == sorted(map(str, batch.collect()))
-    assert len(list((tmp_path / "live").glob("v*"))) == 2
+    assert len(list((tmp_path / "live" / "lists").glob("v*"))) == 2
 
 
 def test_watermark_drops_repeats_across_batches(spark, folder, tmp_path):
