@@ -107,3 +107,57 @@ def test_batch_read_and_empty_endpoint(spark, folder):
     assert polled.read_polled(spark, "poll_batch").collect() == []
     put(where, "a", [(i, f"2020-01-{i:02d}T00:00:00") for i in range(1, 11)])
     assert sorted(int(r.id) for r in polled.read_polled(spark, "poll_batch").collect()) == list(range(3, 11))
+
+
+class Rec(dict):
+    live = most = 0
+
+    def __init__(self, **given):
+        super().__init__(**given)
+        Rec.live += 1
+        Rec.most = max(Rec.most, Rec.live)
+
+    def __del__(self):
+        Rec.live -= 1
+
+
+class Many:
+    """5,000 records, one after the other; the first requests break off in the middle."""
+
+    def __init__(self, broken=0):
+        self.broken = broken
+
+    def records(self, low, high):
+        for i in range(5000):
+            if self.broken and i == 3210:
+                self.broken -= 1
+                raise ConnectionError("gone")
+            yield Rec(id=i, ts="t")
+
+
+def test_a_part_is_not_held_in_memory_and_a_broken_request_repeats_no_row():
+    span = polled.Span("", "2020-01-01T00:00:00")
+    want = [(str(i), "t", None) for i in range(5000)]
+    for broken in (0, 2):
+        Rec.live = Rec.most = 0
+        assert list(polled.fetch(Many(broken), span, SCHEMA.names, 2, 0.0)) == want
+        assert Rec.most <= polled.HELD + 1
+    rows = polled.fetch(Many(3), span, SCHEMA.names, 2, 0.0)
+    with pytest.raises(ConnectionError):
+        next(rows)
+
+
+def test_files_are_read_by_lines(folder):
+    import tracemalloc
+
+    where = folder("in")
+    put(where, "a", [(f"\u2028\x85{i:0200d}", "2020-01-01T00:00:00") for i in range(50_000)])
+    with open(f"{where}/a.json", "a") as f:
+        f.write("\n" + json.dumps({"id": "\u2028", "ts": "2020-01-01T00:00:00"}, ensure_ascii=False) + "\r\n")
+    ends = polled.FolderEndpoint(where, "ts")
+    list(zip(range(1), ends.records(None, dt.datetime(2021, 1, 1))))  # modules are loaded
+    tracemalloc.start()
+    found = sum(1 for _ in ends.records(None, dt.datetime(2021, 1, 1)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 50_001 and peak < 6_000_000 < os.path.getsize(f"{where}/a.json") / 2

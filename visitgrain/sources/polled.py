@@ -5,7 +5,8 @@ empty), and ``records(low, high)``, its records later than ``low`` (None: from t
 and with ``high``, as mappings. It is pickled to the executors, so it should hold settings, not connections.
 
 Each trigger asks for the newest time and reads what came since the last one; the span is cut into
-parts that tasks fetch, so records don't pass through the driver. Offsets are in the stream's
+parts that tasks fetch, so records don't pass through the driver. ``records`` may be a generator: a task takes
+them one after the other and never holds all of a part in memory. Offsets are in the stream's
 checkpoint: a restart goes on after the last finished batch, and a batch that is run again asks for the same span.
 
 An outage (``OSError``) while the newest time is asked for leaves it as it was, so the next trigger asks
@@ -16,8 +17,12 @@ task, which Spark runs again.
 from __future__ import annotations
 
 import datetime as dt
+import pickle
+import tempfile
 import time
+import zlib
 from collections.abc import Iterable, Iterator, Mapping
+from itertools import islice
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -26,6 +31,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from visitgrain.schema import TEXT_SCHEMA
 
 
+#: Records of a span that a task holds in memory at once.
+HELD = 1000
+
+
 class Endpoint(Protocol):
     def latest(self) -> dt.datetime | None: ...
 
@@ -51,17 +60,29 @@ def spans(low: str, high: str, parts: int) -> list[Span]:
 
 
 def fetch(endpoint: Endpoint, span: Span, names: list[str], retries: int, wait: float) -> Iterator[tuple]:
+    """The span's rows. None is given out before the request has ended well, so a repeated one repeats no row;
+    till then they wait in a temporary file, and memory holds ``HELD`` of them."""
     low = dt.datetime.fromisoformat(span.low) if span.low else None
     for attempt in range(retries + 1):
-        try:
-            found = list(endpoint.records(low, dt.datetime.fromisoformat(span.high)))
-            break
-        except OSError:
-            if attempt == retries:
-                raise
-            time.sleep(wait)
-    for record in found:
-        yield tuple(None if record.get(n) is None else str(record[n]) for n in names)
+        with tempfile.TemporaryFile() as held:
+            try:
+                records = iter(endpoint.records(low, dt.datetime.fromisoformat(span.high)))
+                while rows := [_row(r, names) for r in islice(records, HELD)]:
+                    pickle.dump(zlib.compress(pickle.dumps(rows), 1), held)
+            except OSError:
+                if attempt == retries:
+                    raise
+                time.sleep(wait)
+                continue
+            end = held.tell()
+            held.seek(0)
+            while held.tell() < end:
+                yield from pickle.loads(zlib.decompress(pickle.load(held)))
+            return
+
+
+def _row(record: Mapping[str, Any], names: list[str]) -> tuple:
+    return tuple(None if record.get(n) is None else str(record[n]) for n in names)
 
 
 class _Poll(DataSourceStreamReader):
@@ -168,6 +189,7 @@ class FolderEndpoint:
 
     def _records(self, low: str = "", high: str = "~") -> Iterator[Mapping[str, Any]]:
         """Records of the files whose month is within ``low`` and ``high``, both included."""
+        import io
         import json
 
         from pyarrow import fs
@@ -176,8 +198,8 @@ class FolderEndpoint:
         for path in self._files():
             if not self.by or low <= self._month(path) <= high:
                 with store.open_input_stream(path) as file:
-                    for line in file.read().decode().splitlines():
-                        if line:
+                    for line in io.TextIOWrapper(io.BufferedReader(file, 1 << 20), "utf-8"):
+                        if not line.isspace():
                             yield json.loads(line)
 
     def _time(self, record: Mapping[str, Any]) -> dt.datetime:
