@@ -68,3 +68,33 @@ def test_finer_shuffles_go_by_the_size_and_are_put_back(spark):
     with finer_shuffles(spark, 100_000_001):
         assert int(spark.conf.get(INITIAL)) == max(partitions, 51)
     assert spark.conf.get(INITIAL, None) is None and spark.conf.get(TARGET, None) == target
+
+
+def test_gzip_files_that_make_enough_tasks_are_not_dealt_anew(spark, folder):
+    from visitgrain.sources.files import read_csv
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        for files, shuffles in ((4, False), (1, True)):
+            path = folder(f"csv{files}")
+            spark.range(100).repartition(files).write.option("header", True).option("compression", "gzip").csv(path)
+            read = read_csv(spark, path, ["id"], partitions=3)
+            assert ("Repartition" in read._jdf.queryExecution().optimizedPlan().toString()) == shuffles
+            assert read.count() == 100 and read.rdd.getNumPartitions() >= 3
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_writes_begin_with_partitions_by_what_they_read(spark, folder, monkeypatch):
+    from visitgrain.sources import fs, tables
+
+    where, seen = star(spark, folder("star è")), []
+    v = V.visits_view(spark, where)
+    assert fs.read_bytes(v) == V.base_length(spark, where) > 1000 and fs.read_bytes(spark.range(3)) == 0
+    write = tables.write_dealt
+    monkeypatch.setattr(tables, "write_dealt", lambda *a: (seen.append(spark.conf.get(INITIAL)), write(*a)))
+    monkeypatch.setattr("visitgrain.session.FINE_BYTES", 500)
+    tables.write_visits(v, folder("out"))
+    assert int(seen[0]) > 10 and spark.conf.get(INITIAL, None) is None
+    rows = [(r.waktu_registrasi, r.no_registrasi) for r in spark.read.parquet(f"{folder('out')}/visit_year=1999").collect()]
+    assert len(rows) > 5

@@ -39,8 +39,8 @@ def read_csv(
 ) -> DataFrame:
     """Named columns of a CSV with a header, as text; ``.csv.gz`` works the same.
 
-    A gzip file cannot be split: pass ``partitions`` to spread its rows before further work, and
-    land it as Parquet.
+    A gzip file cannot be split: pass ``partitions`` to spread the rows of few files over so many
+    tasks before further work, and land them as Parquet. Files that make as many tasks stay where they are.
     """
     df = (
         spark.read.schema(header_schema(spark, path))
@@ -49,7 +49,7 @@ def read_csv(
         .csv(path)
         .select(*columns)
     )
-    return df.repartition(partitions) if partitions else df
+    return df.repartition(partitions) if partitions and df.rdd.getNumPartitions() < partitions else df
 
 
 def read_json(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote, unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from visitgrain.session import require_shared_dir
 
@@ -46,3 +47,24 @@ def delete(spark: SparkSession, path: str) -> None:
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
     return f"{require_shared_dir(spark)}/visitgrain-{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: How much larger plain text is than the same rows in compressed columns, about.
+TEXT_FACTOR = 10
+
+
+def read_bytes(frame: DataFrame) -> int:
+    """Bytes of the files that a frame reads, plain text as if it were compressed columns; 0 for
+    frames that read none, such as cached ones and batches of a stream."""
+    folders: dict[str, set[str]] = {}
+    for path in set(frame.inputFiles()):
+        folder, name = path.rsplit("/", 1)
+        folders.setdefault(folder, set()).add(name)
+    total = 0
+    for folder, names in folders.items():
+        jpath, fs = hadoop_path(frame.sparkSession, unquote(folder))  # names come as they stand in URIs
+        for status in fs.listStatus(jpath):
+            name = status.getPath().getName()
+            if quote(name) in names or name in names:
+                total += status.getLen() // (TEXT_FACTOR if name.endswith((".csv", ".json", ".txt")) else 1)
+    return total

@@ -10,8 +10,9 @@ from visitgrain.operators.clean import clean, convert_types, drop_known, project
 from visitgrain.operators.filters import from_time, latest_frame
 from visitgrain.operators.reshape import union_rows
 from visitgrain.schema import EVENT_TIME, VISIT_KEY, VISIT_SCHEMA
+from visitgrain.session import finer_shuffles
 from visitgrain.sources.files import CORRUPT, read_dataset
-from visitgrain.sources.fs import is_written
+from visitgrain.sources.fs import is_written, read_bytes
 from visitgrain.sources.tables import read_stored_visits, write_visits
 
 
@@ -85,7 +86,9 @@ def load_or_build(
 ) -> DataFrame:
     """The Parquet snapshot at ``path``, built and written first if it is not there."""
     if not is_written(spark, path):
-        build().write.mode("overwrite").parquet(path)
+        built = build()
+        with finer_shuffles(spark, read_bytes(built)):
+            built.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
