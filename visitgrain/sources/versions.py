@@ -25,6 +25,7 @@ from visitgrain.schema import PARTITION_MONTH, PARTITION_YEAR, PARTITIONS, STORE
 from visitgrain.sources.fs import delete, finished, hadoop_path
 from visitgrain.sources.files import read_dataset
 from visitgrain.sources.ingest import with_identity
+from visitgrain.sources.staged import dedupe_staged, drop_known_staged
 from visitgrain.sources.tables import write_visits
 from visitgrain.streaming.landing import start
 
@@ -171,11 +172,13 @@ def append_batch(batch: DataFrame, batch_id: int, table: str, compact_above: int
     """
     spark, old = batch.sparkSession, newest(batch.sparkSession, table)
     if batch_id > old.last_batch:
-        rows = with_identity(clean(batch)).persist()  # both sides of drop_known read it
+        staged = f"{table}/staged/{uuid.uuid4().hex[:12]}"
         try:
-            _publish(drop_known(rows, read(spark, table, old)), table, old, set(), batch_id)
+            rows = clean(batch, dedupe=lambda df: dedupe_staged(with_identity(df), staged))
+            fresh = drop_known_staged(rows, read(spark, table, old), f"{staged}/known")
+            _publish(fresh, table, old, set(), batch_id)
         finally:
-            rows.unpersist()
+            delete(spark, staged)
     if compact_above:
         compact(spark, table, compact_above)
 
