@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from visitgrain.operators.clean import clean, dedupe_by_key, drop_known
+from visitgrain.operators.clean import before_dedupe, clean, dedupe_by_key, drop_known
 from visitgrain.schema import PARTITION_MONTH, PARTITION_YEAR, PARTITIONS, STORED_SCHEMA, VISIT_KEY, VISIT_SCHEMA
 from visitgrain.sources.fs import delete, finished, hadoop_path
 from visitgrain.sources.files import read_dataset
 from visitgrain.sources.ingest import with_identity
-from visitgrain.sources.staged import dedupe_staged, drop_known_staged
+from visitgrain.sources.staged import drop_known_staged, stage, write_once
 from visitgrain.sources.tables import write_visits
 from visitgrain.streaming.landing import start
 
@@ -99,12 +100,17 @@ def _in(months: set[tuple[int, int]]) -> Column:
 
 
 def _publish(
-    rows: DataFrame, table: str, old: Version, replaced: set[tuple[int, int]], last_batch: int | None = None
+    rows: DataFrame, table: str, old: Version, replaced: set[tuple[int, int]], last_batch: int | None = None,
+    write: Callable[[DataFrame, str], None] | None = None,
 ) -> Version:
     """Write ``rows`` as an edition and list it instead of all there was of the months ``replaced``."""
     spark, number = rows.sparkSession, old.number + 1
     edition = f"{number:08d}-{uuid.uuid4().hex[:8]}"
-    write_visits(rows, f"{table}/data/{EDITION}={edition}", mode="error", summarise=False)
+    path = f"{table}/data/{EDITION}={edition}"
+    if write:
+        write(rows, path)
+    else:
+        write_visits(rows, path, mode="error", summarise=False)
     kept = {p for p in old.places if (p.year, p.month) not in replaced}
     new = Version(number, frozenset(kept | _folders(spark, table, edition)), old.last_batch if last_batch is None else last_batch)
     entries = [(*p, new.last_batch) for p in sorted(new.places)] + [(None, None, None, new.last_batch)]
@@ -174,9 +180,9 @@ def append_batch(batch: DataFrame, batch_id: int, table: str, compact_above: int
     if batch_id > old.last_batch:
         staged = f"{table}/staged/{uuid.uuid4().hex[:12]}"
         try:
-            rows = clean(batch, dedupe=lambda df: dedupe_staged(with_identity(df), staged))
+            rows = stage(with_identity(before_dedupe(batch)), f"{staged}/rows")
             fresh = drop_known_staged(rows, read(spark, table, old), f"{staged}/known")
-            _publish(fresh, table, old, set(), batch_id)
+            _publish(fresh, table, old, set(), batch_id, lambda df, path: write_once(df, path, staged))
         finally:
             delete(spark, staged)
     if compact_above:
