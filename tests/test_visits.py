@@ -98,3 +98,33 @@ def test_writes_begin_with_partitions_by_what_they_read(spark, folder, monkeypat
     assert int(seen[0]) > 10 and spark.conf.get(INITIAL, None) is None
     rows = [(r.waktu_registrasi, r.no_registrasi) for r in spark.read.parquet(f"{folder('out')}/visit_year=1999").collect()]
     assert len(rows) > 5
+
+
+SCAN = "spark.sql.files.maxPartitionBytes"
+
+
+def test_scans_before_a_shuffle_are_read_in_bounded_parts(spark):
+    before = spark.conf.get(SCAN, None)
+    try:
+        for given, held in (("128m", 24 << 20), ("1g", 24 << 20), ("1m", 1 << 20)):
+            spark.conf.set(SCAN, given)
+            with finer_shuffles(spark, 1):
+                assert int(spark.conf.get(SCAN)) == held
+            assert spark.conf.get(SCAN) == given
+    finally:
+        spark.conf.unset(SCAN) if before is None else spark.conf.set(SCAN, before)
+
+
+def test_the_build_reads_line_items_in_many_tasks(spark, folder, monkeypatch):
+    where, tasks, write = star(spark, folder("star")), [], V.write_dealt
+
+    def seen(df, path):
+        tasks.append(spark.read.parquet(V.table_path(where, "lineitem")).rdd.getNumPartitions())
+        write(df, path)
+
+    monkeypatch.setattr(V, "write_dealt", seen)
+    monkeypatch.setattr("visitgrain.session.FINE_SCAN", 500, raising=False)
+    V._store(spark, where, folder("out"))
+    outside = spark.read.parquet(V.table_path(where, "lineitem")).rdd.getNumPartitions()
+    assert tasks[0] > 2 * outside
+    assert read_stored_visits(spark, folder("out")).count() == V.visits_view(spark, where).count()
