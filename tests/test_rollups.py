@@ -103,3 +103,14 @@ def test_empty_table(spark, visits, folder):
     write_visits(visits.limit(0), folder("none"), mode="error")
     v = read_stored_visits(spark, folder("none"))
     assert rolled.unique_patients(v).first()[0] == 0 and rolled.growth(v).collect() == []
+
+
+def test_the_visits_of_a_roll_up_are_read_in_bounded_parts(spark, stored, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    key, seen, write = "spark.sql.files.maxPartitionBytes", [], DataFrameWriter.parquet
+    before, v = spark.conf.get(key, None), read_stored_visits(spark, stored)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(int(spark.conf.get(key).rstrip("b"))), write(self, *a, **b))[1])
+    assert rows(rolled.patients_by_age(v)) == rows(patients.by_age(v))
+    assert seen and max(seen) <= 24 << 20
+    assert spark.conf.get(key, None) == before

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitgrain.schema import COST, EVENT_TIME, PARTITION_MONTH, PARTITION_YEAR, PARTITIONS, PATIENT, REVENUE
+from visitgrain.session import finer_shuffles
 from visitgrain.sources import summary
 from visitgrain.sources.fs import delete, finished, hadoop_path
 
@@ -91,7 +92,8 @@ def ensure(v: DataFrame, rollup: Rollup) -> DataFrame | None:
         of_months = v.where(F.col(PARTITION_YEAR).isin(sorted({y for y, _, _ in lacking})) & number.isin([y * 12 + m for y, m, _ in lacking]))
         digests = spark.createDataFrame(lacking, f"{PARTITION_YEAR} int, {PARTITION_MONTH} int, {summary.DIGEST} string")
         fresh = rollup.make(of_months).join(digests, list(PARTITIONS)).hint("rebalance", *PARTITIONS)
-        fresh.write.partitionBy(summary.DIGEST, *PARTITIONS).parquet(f"{base}/{REFRESH}={uuid.uuid4().hex[:12]}")
+        with finer_shuffles(spark, 0):  # what is read is large, what is shuffled is not
+            fresh.write.partitionBy(summary.DIGEST, *PARTITIONS).parquet(f"{base}/{REFRESH}={uuid.uuid4().hex[:12]}")
         have = _stored(spark, base)
     leaves = [have[w] for w in wanted if w in have]
     if not leaves:
