@@ -1,5 +1,7 @@
 """The visits over the star schema: the staged joins against the one text, and their shuffles."""
 
+import pytest
+
 from visitgrain.session import finer_shuffles
 from visitgrain.sources import visits as V
 from visitgrain.sources.tables import read_stored_visits
@@ -128,3 +130,43 @@ def test_the_build_reads_line_items_in_many_tasks(spark, folder, monkeypatch):
     outside = spark.read.parquet(V.table_path(where, "lineitem")).rdd.getNumPartitions()
     assert tasks[0] > 2 * outside
     assert read_stored_visits(spark, folder("out")).count() == V.visits_view(spark, where).count()
+
+
+def test_a_query_that_builds_visits_shuffles_by_the_input_and_not_by_the_session(spark, folder):
+    """The build behind a query, with one shuffle partition and no broadcasts, as where tables have outgrown them."""
+    from visitgrain.registry import QUERIES
+
+    where = folder("large")
+    made = {
+        "region": (1, "id AS r_regionkey, 'R' AS r_name"),
+        "nation": (2, "id AS n_nationkey, 'N' AS n_name, 0L AS n_regionkey"),
+        "customer": (60, "id AS c_custkey, 'C' AS c_name, id % 2 AS c_nationkey, 'S' AS c_mktsegment"),
+        "part": (60, "id AS p_partkey, 'p' AS p_name, 'B' AS p_brand, 'T' AS p_type, 7 AS p_size"),
+        "orders": (400, "id AS o_orderkey, id % 60 AS o_custkey, 'O' AS o_orderstatus, '5-LOW' AS o_orderpriority, "
+                        "timestamp_ntz'1999-01-01 00:00:00' + make_interval(0, int(id % 3)) AS o_orderdate"),
+        "lineitem": (1200, "id % 400 AS l_orderkey, id % 60 AS l_partkey, int(id DIV 400) + 1 AS l_linenumber, 10.0D AS l_extendedprice, "
+                           "0.1D AS l_discount, 2.0D AS l_quantity, 'A' AS l_returnflag, 'F' AS l_linestatus, "
+                           "timestamp_ntz'2000-03-01 00:00:00' AS l_shipdate"),
+    }
+    for name, (rows, columns) in made.items():
+        spark.sql(f"SELECT {columns} FROM range(0, {rows}, 1, 1)").write.parquet(V.table_path(where, name))
+    given = {"spark.sql.shuffle.partitions": "1", "spark.sql.autoBroadcastJoinThreshold": "-1", TARGET: "1",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    before, context = {k: spark.conf.get(k, None) for k in given}, spark.sparkContext
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("visitgrain.session.FINE_BYTES", V.base_length(spark, where) // 20, raising=False)
+        try:
+            for k, v in given.items():
+                spark.conf.set(k, v)
+            context.setJobGroup("build", "")
+            got = QUERIES["Q-1"](spark, where)
+            tracker = context.statusTracker()
+            stages = {s for j in tracker.getJobIdsForGroup("build") for s in tracker.getJobInfo(j).stageIds}
+            tasks = [tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)]
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # Line items by part, orders by customer, and both by order: each is read by many tasks.
+    assert sum(n >= 10 for n in tasks) >= 3, sorted(tasks)
+    assert V.visits(spark, where).count() == 1200 and got.count() > 0
