@@ -38,3 +38,13 @@ def test_raw_records_are_made_without_storing_the_visits(spark, folder):
     assert spark.read.json(path).count() == spark.read.parquet(table_path(made, "lineitem")).count()
     assert raw.json_share(spark, path, 6) >= 6
     assert set(finished(spark, f"{spark.conf.get('spark.checkpoint.dir')}/visitgrain-visits-*")) == before
+
+
+def test_records_lie_in_files_of_a_size_that_a_task_reads(spark, folder, monkeypatch):
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "'a, b' AS t")
+    monkeypatch.setattr(raw, "FILE_RECORDS", 100)
+    raw._write_csv(rows, folder("csv"), "gzip")
+    files = [n for n in children(spark, folder("csv")) if n.startswith("part-")]
+    assert len(files) == 10 and all(n.endswith(".csv.gz") for n in files)
+    read = spark.read.schema(rows.schema).option("header", True).csv(folder("csv"))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
