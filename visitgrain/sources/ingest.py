@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitgrain.operators.clean import clean, convert_types, drop_known, project
+from visitgrain.operators.clean import after_dedupe, before_dedupe, clean, convert_types, drop_known, is_typed, project
 from visitgrain.operators.filters import from_time, latest_frame
 from visitgrain.operators.reshape import union_rows
 from visitgrain.schema import EVENT_TIME, VISIT_KEY, VISIT_SCHEMA
 from visitgrain.session import finer_shuffles
 from visitgrain.sources.files import CORRUPT, read_dataset
-from visitgrain.sources.fs import is_written, read_bytes
+from visitgrain.sources.fs import delete, is_written, read_bytes
+from visitgrain.sources.staged import drop_known_staged, stage_text, write_once
 from visitgrain.sources.tables import read_stored_visits, write_visits
 
 
@@ -33,13 +36,27 @@ def ingest_batch(
     raw = read_dataset(spark, source, kind=kind, multi_line=multi_line, mode=mode) if isinstance(source, str) else source
     if CORRUPT in raw.columns:
         raw = raw.filter(F.col(CORRUPT).isNull())
-    rows = with_identity(clean(raw, mode=mode), mode)
-    if is_written(spark, target):
-        rows = drop_known(rows, read_stored_visits(spark, target))
-    write_visits(rows, target, mode="append")
+    rows = before_dedupe(raw, mode)
+    if mode == "strict":
+        rows = with_identity(rows)
+    with _beside(spark, target) as staged:
+        rows = stage_text(rows, f"{staged}/rows", is_typed(raw))
+        if is_written(spark, target):
+            rows = drop_known_staged(rows, read_stored_visits(spark, target), f"{staged}/known")
+        write_once(rows, target, staged, "append", True, lambda kept: with_identity(after_dedupe(kept), mode))
     return read_stored_visits(spark, target)
 
 
+@contextmanager
+def _beside(spark: SparkSession, target: str) -> Iterator[str]:
+    """A folder for what a load stages, not among the table's files, which goes with the load."""
+    staged = f"{target.rstrip('/')}-staged-{uuid.uuid4().hex[:12]}"
+    try:
+        yield staged
+    finally:
+        delete(spark, staged)
+
+
 def with_identity(rows: DataFrame, mode: str = "strict") -> DataFrame:
     """Rows that have a key and an event time; in strict mode one without them fails the job."""
     whole = F.col(VISIT_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull()
@@ -62,7 +79,9 @@ def merge_upload(
     new = read_dataset(spark, upload) if isinstance(upload, str) else upload
     old = read_stored_visits(spark, current).select(*VISIT_SCHEMA.names)
     both = union_rows(old, convert_types(project(new)))
-    write_visits(clean(both), target, mode="error")
+    with _beside(spark, target) as staged:
+        rows = stage_text(before_dedupe(both), f"{staged}/rows", is_typed(new))
+        write_once(rows, target, staged, summarise=True)
     return read_stored_visits(spark, target)
 
 
